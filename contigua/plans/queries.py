@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contigua.operators.fill import Category, Numeric, fill_missing
 from contigua.operators.near import near_pairs
+from contigua.operators.spikes import implausible
 from contigua.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +19,55 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_pairs(table(spark, folder, "nodes"), 25.0)
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found}
+def p3_spikes(spark: SparkSession, folder: str) -> DataFrame:
+    return implausible(table(spark, folder, "speeds_long"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_spikes(spark, folder).select("obs_id").distinct()
+
+
+#: The road classes and days that count as named; fixed values.
+ROAD_CLASSES = ["trunk", "primary", "secondary", "tertiary", "residential", "service"]
+DAYS = ["D7", "D8", "D9"]
+
+
+def p4_fill(spark: SparkSession, folder: str) -> DataFrame:
+    speed, day = F.col("speed"), F.col("day")
+    road = F.lower(F.regexp_replace("road_class", r"\s+", ""))
+    return fill_missing(
+        table(spark, folder, "speeds_long"),
+        source="link_id",
+        ts="ts",
+        row_id="obs_id",
+        numerics=[Numeric("speed", F.when(~F.isnan(speed) & (speed != 0), speed))],
+        categories=[
+            Category("day", F.when(day.isin(DAYS), day), gap_s=1_800.0, by_date=True, default=F.concat(F.lit("D"), F.dayofmonth(F.date_from_unix_date(F.floor(F.col("us") / 86_400_000_000).cast("int"))))),
+            Category("road_class", F.when(road.isin(ROAD_CLASSES), road), gap_s=86_400.0, by_source=True),
+        ],
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    filled = p4_fill(spark, folder).where("link_id is not null")
+    fields = F.filter(F.array(*[F.when(F.col(f"{c}_filled"), c) for c in ("speed", "day", "road_class")]), lambda x: x.isNotNull())
+    return filled.select("obs_id", F.explode(fields).alias("field_name")).distinct()
+
+
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_spikes": p3_spikes, "p4_found": p4_found, "p4_fill": p4_fill}
 
 SQL: dict[str, str] = {
     "p2_found": """
         WITH p AS (SELECT DISTINCT id, x, y FROM nodes WHERE isfinite(x) AND isfinite(y) AND NOT (x = 0 AND y = 0))
         SELECT a.id AS id_a, b.id AS id_b FROM p a JOIN p b
         ON a.id < b.id AND b.x BETWEEN a.x - 26 AND a.x + 26 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 625.0""",
+    "p4_found": """
+        WITH r AS (SELECT obs_id, link_id, CAST(ts AS DATE) AS d,
+            CASE WHEN isnan(speed) OR speed = 0 THEN NULL ELSE speed END AS speed,
+            CASE WHEN day IN ('D7', 'D8', 'D9') THEN day END AS day,
+            CASE WHEN lower(replace(road_class, ' ', '')) IN ('trunk', 'primary', 'secondary', 'tertiary', 'residential', 'service') THEN road_class END AS rc
+            FROM speeds_long WHERE link_id IS NOT NULL)
+        SELECT DISTINCT obs_id, 'day' AS field_name FROM r WHERE day IS NULL
+        UNION ALL SELECT DISTINCT obs_id, 'speed' FROM r WHERE speed IS NULL AND (link_id, d) IN (SELECT (link_id, d) FROM r WHERE speed IS NOT NULL)
+        UNION ALL SELECT DISTINCT obs_id, 'road_class' FROM r WHERE rc IS NULL AND link_id IN (SELECT link_id FROM r WHERE rc IS NOT NULL)""",
 }
