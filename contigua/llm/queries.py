@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from contigua.llm.components import group_ids
+from contigua.llm.leaks import leaks
 from contigua.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +17,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return group_ids(table(spark, folder, "nodes"), table(spark, folder, "links"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).where("field = 'passage'").select("doc_id", "item_id").distinct()
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 SQL: dict[str, str] = {
     "p1_found": """
