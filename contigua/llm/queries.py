@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from contigua.llm.components import group_ids
 from contigua.llm.leaks import leaks
+from contigua.llm.packing import pack, token_counts
 from contigua.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +19,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return group_ids(table(spark, folder, "nodes"), table(spark, folder, "links"))
 
 
+#: A file of byte-pair ranks, at the same path on every machine.
+TOKENIZER = os.environ.get("CONTIGUA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = token_counts(table(spark, folder, "documents"), TOKENIZER)
+    return pack(sizes, 4_096).withColumnsRenamed({"item": "doc_id", "first": "first_token", "size": "n_tokens"})
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -25,7 +36,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).where("field = 'passage'").select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 SQL: dict[str, str] = {
     "p1_found": """
