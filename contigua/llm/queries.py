@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from contigua.llm.components import group_ids
 from contigua.llm.leaks import leaks
 from contigua.llm.packing import pack, token_counts
+from contigua.llm.personal import personal_spans, without_personal
 from contigua.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,7 +37,15 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).where("field = 'passage'").select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_spans(table(spark, folder, "documents"), table(spark, folder, "name_parts")).select("doc_id", "start_pos", "kind")
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return without_personal(table(spark, folder, "documents"), table(spark, folder, "name_parts"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 SQL: dict[str, str] = {
     "p1_found": """
