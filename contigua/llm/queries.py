@@ -6,7 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from contigua.llm.bisecting import Limits, alike_groups, typical_members
 from contigua.llm.components import group_ids
 from contigua.llm.leaks import leaks
 from contigua.llm.packing import pack, token_counts
@@ -20,6 +22,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return group_ids(table(spark, folder, "nodes"), table(spark, folder, "links"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return alike_groups(table(spark, folder, "v_pick"), "link_id", ["D7", "D8", "D9"], 2.0, above=0.0).select(F.col("id").alias("link_id"), "cluster_id")
+
+
+def p5_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    return typical_members(table(spark, folder, "v_pick"), "link_id", ["D7", "D8", "D9"], Limits(radius=1.0, cell=0.1), above=0.0).withColumnRenamed("id", "link_id")
+
+
 #: A file of byte-pair ranks, at the same path on every machine.
 TOKENIZER = os.environ.get("CONTIGUA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
@@ -45,7 +55,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return without_personal(table(spark, folder, "documents"), table(spark, folder, "name_parts"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p5_leaves": p5_leaves, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 SQL: dict[str, str] = {
     "p1_found": """
@@ -54,4 +64,10 @@ SQL: dict[str, str] = {
         both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         reach(id, other) AS (SELECT id, id FROM n UNION SELECT r.id, w.b FROM reach r JOIN both_ways w ON w.a = r.other)
         SELECT id, min(other) AS group_id FROM reach GROUP BY id""",
+    "p5_found": """
+        WITH v AS (SELECT DISTINCT link_id, D7, D8, D9 FROM v_pick WHERE isfinite(D7) AND isfinite(D8) AND isfinite(D9) AND D7 > 0 AND D8 > 0 AND D9 > 0),
+        p AS (SELECT a.link_id AS a, b.link_id AS b FROM v a JOIN v b ON b.D7 BETWEEN a.D7 - 2.01 AND a.D7 + 2.01 AND (a.D7 - b.D7) ** 2 + (a.D8 - b.D8) ** 2 + (a.D9 - b.D9) ** 2 <= 4.0),
+        h AS (SELECT a, count(*) AS n, min(b) AS low, sum(CAST(hash(b) AS HUGEINT)) AS mark FROM p GROUP BY a),
+        g AS (SELECT n, low, mark FROM h GROUP BY n, low, mark HAVING count(*) = n AND n >= 3)
+        SELECT h.a AS link_id, h.low AS cluster_id FROM h JOIN g ON h.n = g.n AND h.low = g.low AND h.mark = g.mark""",
 }
