@@ -203,7 +203,7 @@ def alike_groups(rows: DataFrame, key: str, features: list[str], distance: float
     placed, cells = leaves_of(vectors(rows, key, features, above=above), d, limits)
     points = Kept(placed, "placed").df
     lo, hi = [f"a{i}" for i in range(d)], [f"b{i}" for i in range(d)]
-    leaf = cells.groupBy("leaf").agg(*[F.min(c).alias(c) for c in lo], *[F.max(c).alias(c) for c in hi])
+    leaf = Kept(cells.groupBy("leaf").agg(*[F.min(c).alias(c) for c in lo], *[F.max(c).alias(c) for c in hi]), "boxes").df
 
     # leaves whose boxes come within the distance: met in coarse cells that their widened boxes cover
     wide = 2 * distance
@@ -232,12 +232,28 @@ def alike_groups(rows: DataFrame, key: str, features: list[str], distance: float
     seen = Kept(both.groupBy("leaf", "leaf2").applyInPandas(by_boxes, "leaf string, leaf2 string, touch boolean, alike boolean"), "pairs").df
     open_pairs = seen.where("touch is null or (touch and alike is null)")
 
-    # what boxes leave open is settled by the points themselves, block against block
-    blocks = points.groupBy("leaf").agg(F.ceil(F.count("*") / limits.block_rows).cast("int").alias("blocks"))
-    pairs = open_pairs.select("leaf", "leaf2").join(blocks.withColumnRenamed("blocks", "k1"), "leaf").join(blocks.select(F.col("leaf").alias("leaf2"), F.col("blocks").alias("k2")), "leaf2")
+    # what boxes leave open: first whether a ball of half the distance about the common box's centre holds both leaves
     xs = [f"x{i}" for i in range(d)]
-    first = pairs.join(points, "leaf").withColumn("i", F.pmod(F.xxhash64("id"), "k1").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k2") - 1))).select("leaf", "leaf2", "i", "j", F.lit(0).alias("of"), *xs)
-    second = pairs.join(points.withColumnRenamed("leaf", "leaf2"), "leaf2").withColumn("j", F.pmod(F.xxhash64("id"), "k2").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k1") - 1))).select("leaf", "leaf2", "i", "j", F.lit(1).alias("of"), *xs)
+    sides = {f"{c}_2": F.col(c) for c in lo + hi}
+    leaf2 = leaf.select(F.col("leaf").alias("leaf2"), *[v.alias(k) for k, v in sides.items()])
+    middle = [((F.least(f"a{i}", f"a{i}_2") + F.greatest(f"b{i}", f"b{i}_2")) / 2).alias(f"m{i}") for i in range(d)]
+    open_pairs = seen.where("touch is null or (touch and alike is null)").join(leaf, "leaf").join(leaf2, "leaf2").select("*", *middle)
+    from_middle = F.sqrt(sum((F.pow(F.col(f"x{i}") - F.col(f"m{i}"), 2) for i in range(d)), F.lit(0.0)))
+    ends = [open_pairs.withColumn("own", F.col(c)).drop(*xs) for c in ("leaf", "leaf2")]
+    owned = points.select(F.col("leaf").alias("own"), "id", *xs)
+    reach = ends[0].unionByName(ends[1]).join(owned, "own").groupBy("leaf", "leaf2").agg(F.max(from_middle).alias("reach"))
+    balls = Kept(open_pairs.join(reach, ["leaf", "leaf2"]).withColumn("alike", F.when(F.col("reach") <= distance / 2, F.lit(True)).otherwise(F.col("alike"))), "balls").df
+
+    # then by the points themselves, block against block; a point in a far pair is farther from the centre than distance - reach
+    blocks = points.groupBy("leaf").agg(F.ceil(F.count("*") / limits.block_rows).cast("int").alias("blocks"))
+    pairs = balls.where("touch is null or alike is null").join(blocks.withColumnRenamed("blocks", "k1"), "leaf").join(blocks.select(F.col("leaf").alias("leaf2"), F.col("blocks").alias("k2")), "leaf2")
+
+    def matters(other: str) -> Column:
+        to_box = sum((F.pow(F.greatest(F.col(f"a{i}{other}") - F.col(f"x{i}"), F.col(f"x{i}") - F.col(f"b{i}{other}"), F.lit(0.0)), 2) for i in range(d)), F.lit(0.0))
+        return (F.col("touch").isNull() & (to_box <= far2 * (1 + 1e-9))) | (F.col("alike").isNull() & (from_middle > distance - F.col("reach") - 1e-9))
+
+    first = pairs.join(points, "leaf").where(matters("_2")).withColumn("i", F.pmod(F.xxhash64("id"), "k1").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k2") - 1))).select("leaf", "leaf2", "i", "j", F.lit(0).alias("of"), *xs)
+    second = pairs.join(points.withColumnRenamed("leaf", "leaf2"), "leaf2").where(matters("")).withColumn("j", F.pmod(F.xxhash64("id"), "k2").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k1") - 1))).select("leaf", "leaf2", "i", "j", F.lit(1).alias("of"), *xs)
 
     def by_points(pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = pdf[pdf["of"] == 0][xs].to_numpy(), pdf[pdf["of"] == 1][xs].to_numpy()
@@ -248,7 +264,10 @@ def alike_groups(rows: DataFrame, key: str, features: list[str], distance: float
         return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "leaf2": [pdf["leaf2"].iloc[0]], "least": [least], "most": [most]})
 
     exact = first.unionByName(second).groupBy("leaf", "leaf2", "i", "j").applyInPandas(by_points, "leaf string, leaf2 string, least double, most double").groupBy("leaf", "leaf2").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    settled = seen.join(exact, ["leaf", "leaf2"], "left").select("leaf", "leaf2", F.coalesce("touch", F.col("least") <= far2).alias("touch"), F.coalesce("alike", F.col("most") <= far2).alias("alike")).where("touch")
+    known = seen.select("leaf", "leaf2", "touch", "alike").join(balls.select("leaf", "leaf2", F.col("alike").alias("in_ball")), ["leaf", "leaf2"], "left")
+    # pairs without points that matter have none near, or none far
+    settled = known.join(exact, ["leaf", "leaf2"], "left").select("leaf", "leaf2", F.coalesce("touch", F.col("least") <= far2, F.lit(False)).alias("touch"), F.coalesce("alike", "in_ball", F.col("most") <= far2, F.lit(True)).alias("alike"))
+    settled = Kept(settled.where("touch"), "settled").df
 
     # a leaf's closed neighbourhood; in a group all leaves have the same one, and it is all of the group
     ways = settled.unionByName(settled.select(F.col("leaf2").alias("leaf"), F.col("leaf").alias("leaf2"), "touch", "alike"))
