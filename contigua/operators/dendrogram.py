@@ -133,7 +133,8 @@ def front(tree: Dendrogram, most: float | None = None) -> DataFrame:
     w = Window.partitionBy("run_key").orderBy("k")
     x = F.coalesce(F.lag("xend").over(w), F.max("xend").over(Window.partitionBy("run_key")) * 1.05)
     out = first.withColumn("x", x)
-    return out.withColumn("share", (F.col("x") - F.col("xend")) / F.first("x").over(w)).select("run_key", "k", "gain", "x", "xend", "share")
+    whole = F.first("x").over(w)
+    return out.withColumn("share", F.when(whole > 0, (F.col("x") - F.col("xend")) / whole).otherwise(1.0)).select("run_key", "k", "gain", "x", "xend", "share")
 
 
 def segments(tree: Dendrogram) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contigua.operators.criteria import CRITERIA, Flows
+from contigua.operators.graph import renewed
 from contigua.operators.kernel import Merged, greedy, heights, leaf_order
 from contigua.plans.shared import Kept
 from contigua.types import Dendrogram, Method, method_of
@@ -24,11 +25,11 @@ def _table(run: int, ids: np.ndarray, x: np.ndarray | None, r: Merged, bayesian:
     place = np.empty(n, int)
     place[leaf_order(n, r.pairs)] = np.arange(n)
     rows = [[] for _ in range(n)] if x is None else list(x)
-    leaves = pd.DataFrame({"id": ids, "leaf": np.arange(n), "place": place, "x": rows})
+    leaves = pd.DataFrame({"id": ids, "leaf": np.arange(n), "place": place, "x": rows, "center": [None] * n})
     m = np.arange(n)
     prior = lambda v: v if bayesian else np.full(n, np.nan)
     pad = lambda v: np.concatenate([[np.nan], v])
-    levels = pd.DataFrame({"m": m, "k": n - m, "left": pad(r.pairs[:, 0]), "right": pad(r.pairs[:, 1]), "cost": pad(r.cost), "height": pad(heights(level)), "size": pad(r.size), "center": [None, *list(r.center)] if x is not None else [None] * n, "level": level, "prior_intra": prior(r.prior_intra), "prior_inter": prior(r.prior_inter), "prior_k": prior(r.prior_k)})
+    levels = pd.DataFrame({"m": m, "k": n - m, "left": pad(r.pairs[:, 0]), "right": pad(r.pairs[:, 1]), "cost": pad(r.cost), "height": pad(heights(level)), "size": pad(r.size), "x": [None] * n, "center": [None, *r.center] if x is not None else [None] * n, "level": level, "prior_intra": prior(r.prior_intra), "prior_inter": prior(r.prior_inter), "prior_k": prior(r.prior_k)})
     out = pd.concat([leaves, levels], ignore_index=True)
     for c in ("id", "leaf", "place", "m", "k", "left", "right", "size"):
         out[c] = out[c].astype("Int64") if c in ("id", "size") else out[c].astype("Int32")
@@ -95,7 +96,7 @@ def fit_graph(features: DataFrame, edges: DataFrame, method: object = "ward") ->
         ids, x = _sorted_features(f, "id")
         return _run(int(f["run_key"].iloc[0]), ids, x, _dense(e, ids), how)
 
-    both = features.select("run_key", "id", "x").groupBy("run_key").cogroup(edges.select("run_key", "src", "dst").groupBy("run_key"))
+    both = features.select("run_key", "id", "x").groupBy("run_key").cogroup(renewed(edges, "run_key", "src", "dst").groupBy("run_key"))
     return _dendrogram(both.applyInPandas(run, RESULT), how)
 
 

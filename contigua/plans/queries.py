@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from contigua.operators.fill import Category, Numeric, fill_missing
 from contigua.operators.near import near_pairs
 from contigua.operators.spikes import implausible
+from contigua.plans import cluster_queries
 from contigua.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,9 +55,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return filled.select("obs_id", F.explode(fields).alias("field_name")).distinct()
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_spikes": p3_spikes, "p4_found": p4_found, "p4_fill": p4_fill}
+QUERIES: dict[str, Query] = cluster_queries.QUERIES | {"p2_found": p2_found, "p3_found": p3_found, "p3_spikes": p3_spikes, "p4_found": p4_found, "p4_fill": p4_fill}
 
-SQL: dict[str, str] = {
+SQL: dict[str, str] = cluster_queries.SQL | {
     "p2_found": """
         WITH p AS (SELECT DISTINCT id, x, y FROM nodes WHERE isfinite(x) AND isfinite(y) AND NOT (x = 0 AND y = 0))
         SELECT a.id AS id_a, b.id AS id_b FROM p a JOIN p b
