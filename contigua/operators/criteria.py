@@ -115,6 +115,10 @@ class Gaussian(Evidence):
         self.mu = x.mean(axis=0) if m.mu is None else np.asarray(m.mu, float)
         spread = ((x**2).mean(axis=0) - x.mean(axis=0) ** 2).sum()
         self.b = np.full(x.shape[1], 0.1 * spread if m.beta is None else m.beta)
+        # what depends on the number of rows alone
+        n = np.arange(len(x) + 1.0)
+        self.half = np.floor(n / 2) if m.halves else n / 2
+        self.fixed = x.shape[1] * (lgamma(m.kappa + self.half) - lgamma(m.kappa) + 0.5 * np.log(m.tau) - 0.5 * np.log(m.tau + n) - self.half * LN_2PI) + m.kappa * np.log(self.b).sum()
 
     def _pooled(self, g, hs):
         n = self.n[g] + self.n[hs]
@@ -124,11 +128,10 @@ class Gaussian(Evidence):
 
     def joint(self, g, hs):
         x, s, n = (self.x[g], self.s[g], self.n[g]) if hs is None else self._pooled(g, hs)
-        m, n = self.method, np.asarray(n, float)[..., None]
-        h = np.floor(n / 2) if m.halves else n / 2
-        k = m.kappa + h
+        m, rows = self.method, np.asarray(n).astype(int)
+        n = np.asarray(n, float)[..., None]
         bn = self.b + s / 2 + m.tau * n / (2 * (m.tau + n)) * (x - self.mu) ** 2
-        return (lgamma(k) - lgamma(m.kappa) + m.kappa * np.log(self.b) - k * np.log(bn) + 0.5 * np.log(m.tau) - 0.5 * np.log(m.tau + n) - h * LN_2PI).sum(axis=-1)
+        return self.fixed[rows] - (m.kappa + self.half[rows]) * np.log(bn).sum(axis=-1)
 
     def unite(self, w, g, h):
         x, s, n = self._pooled(g, np.array([h]))

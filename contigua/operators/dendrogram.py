@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contigua.operators.fit import by_run, each_run
 from contigua.operators.kernel import cut_labels
 from contigua.types import Dendrogram
 
@@ -16,7 +20,7 @@ def _packed(tree: Dendrogram) -> DataFrame:
     """One row for each leaf and merge of a run, small enough for the task that made them."""
     leaves = tree.leaves.select("run_key", F.col("leaf").alias("i"), "id", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"), F.lit(None).cast("double").alias("height"))
     merges = tree.merges.select("run_key", F.col("m").alias("i"), F.lit(None).cast("bigint").alias("id"), F.col("left").alias("a"), F.col("right").alias("b"), "height")
-    return leaves.unionByName(merges)
+    return by_run(leaves.unionByName(merges))
 
 
 def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,15 +42,26 @@ def cut(tree: Dendrogram, k: int | list[int] | None = None, h: float | list[floa
         raise ValueError("k must be at least 1")
     by_k = k is not None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, pairs, height = _unpacked(pdf)
-        n, out = len(ids), []
-        for v in asked:
-            kk = min(int(v), n) if by_k else n - int(np.argmax(np.append(height, np.inf) > v))
-            out.append(pd.DataFrame({"run_key": pdf["run_key"].iloc[0], "cut": v, "k": kk, "id": ids, "cl": cut_labels(n, pairs, kk)}))
-        return pd.concat(out)
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in each_run(batches):
+            ids, pairs, height = _arrays(t)
+            n = len(ids)
+            for v in asked:
+                kk = min(int(v), n) if by_k else n - int(np.argmax(np.append(height, np.inf) > v))
+                yield pa.record_batch({"run_key": np.full(n, key), "cut": np.full(n, v), "k": np.full(n, kk, np.int32), "id": ids, "cl": cut_labels(n, pairs, kk).astype(np.int32)})
+
+    return _in_order(tree).mapInArrow(label, "run_key bigint, cut double, k int, id bigint, cl int")
+
+
+def _in_order(tree: Dendrogram) -> DataFrame:
+    """Runs one after another, leaves before merges."""
+    return _packed(tree).sortWithinPartitions("run_key", F.col("a").isNotNull(), "i")
+
 
-    return _packed(tree).groupBy("run_key").applyInPandas(run, "run_key bigint, cut double, k int, id bigint, cl int")
+def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = t["a"].null_count
+    merges = t.slice(n)
+    return t["id"].slice(0, n).to_numpy().astype(int), np.stack([merges[c].to_numpy() for c in "ab"], axis=1).astype(int).reshape(-1, 2), merges["height"].to_numpy()
 
 
 def best_k(tree: Dendrogram) -> DataFrame:

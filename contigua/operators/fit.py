@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,37 +22,94 @@ RESULT = "run_key bigint, id bigint, leaf int, place int, x array<double>, m int
 MOST_ROWS = 1_000_000
 
 
-def _table(run: int, ids: np.ndarray, x: np.ndarray | None, r: Merged, bayesian: bool) -> pd.DataFrame:
-    n = len(ids)
-    level = -r.level if bayesian else r.level
-    place = np.empty(n, int)
-    place[leaf_order(n, r.pairs)] = np.arange(n)
-    rows = [[] for _ in range(n)] if x is None else list(x)
-    leaves = pd.DataFrame({"id": ids, "leaf": np.arange(n), "place": place, "x": rows, "center": [None] * n})
-    m = np.arange(n)
-    prior = lambda v: v if bayesian else np.full(n, np.nan)
-    pad = lambda v: np.concatenate([[np.nan], v])
-    levels = pd.DataFrame({"m": m, "k": n - m, "left": pad(r.pairs[:, 0]), "right": pad(r.pairs[:, 1]), "cost": pad(r.cost), "height": pad(heights(level)), "size": pad(r.size), "x": [None] * n, "center": [None, *r.center] if x is not None else [None] * n, "level": level, "prior_intra": prior(r.prior_intra), "prior_inter": prior(r.prior_inter), "prior_k": prior(r.prior_k)})
-    out = pd.concat([leaves, levels], ignore_index=True)
-    for c in ("id", "leaf", "place", "m", "k", "left", "right", "size"):
-        out[c] = out[c].astype("Int64") if c in ("id", "size") else out[c].astype("Int32")
-    out.insert(0, "run_key", run)
-    return out[[c.split()[0] for c in RESULT.split(", ")]]
-
-
-def _sorted_features(f: pd.DataFrame, by: str) -> tuple[np.ndarray, np.ndarray]:
-    f = f.drop_duplicates("id").sort_values([by, "id"] if by != "id" else ["id"], ignore_index=True)
-    if len(f) > MOST_ROWS:
-        raise ValueError(f"a run has {len(f)} rows; the bound is {MOST_ROWS}")
-    x = np.stack(f["x"].to_numpy()).astype(float) if len(f) else np.zeros((0, 1))
-    if not np.isfinite(x).all():
+ARROW = pa.schema(
+    [("run_key", pa.int64()), ("id", pa.int64()), ("leaf", pa.int32()), ("place", pa.int32()), ("x", pa.list_(pa.float64())), ("m", pa.int32()), ("k", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("cost", pa.float64()), ("height", pa.float64()), ("size", pa.int64()), ("center", pa.list_(pa.float64())), ("level", pa.float64()), ("prior_intra", pa.float64()), ("prior_inter", pa.float64()), ("prior_k", pa.float64())]
+)
+
+
+@dataclass
+class _Run:
+    key: int
+    ids: np.ndarray
+    x: np.ndarray | None
+    merged: Merged
+    bayesian: bool
+
+    def columns(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Values and validity of each flat column: rows of leaves, then of levels."""
+        n, r = len(self.ids), self.merged
+        level = -r.level if self.bayesian else r.level
+        place = np.empty(n, int)
+        place[leaf_order(n, r.pairs)] = np.arange(n)
+        m = np.arange(n)
+        nothing = np.zeros(n)
+        leaf, lev, merge, prior = np.r_[np.ones(n, bool), np.zeros(n, bool)], np.r_[np.zeros(n, bool), np.ones(n, bool)], np.r_[np.zeros(n, bool), m > 0], np.r_[np.zeros(n, bool), np.full(n, self.bayesian)]
+        pad = lambda v: np.r_[nothing, [0], v]
+        late = lambda v: np.r_[nothing, v]
+        return {
+            "run_key": (np.full(2 * n, self.key), leaf | lev), "id": (np.r_[self.ids, np.zeros(n, int)], leaf), "leaf": (np.r_[m, m], leaf), "place": (np.r_[place, place], leaf), "m": (np.r_[m, m], lev), "k": (np.r_[m, n - m], lev),
+            "left": (pad(r.pairs[:, 0]), merge), "right": (pad(r.pairs[:, 1]), merge), "cost": (pad(r.cost), merge), "height": (pad(heights(level)), merge), "size": (pad(r.size), merge),
+            "level": (late(level), lev), "prior_intra": (late(r.prior_intra), prior), "prior_inter": (late(r.prior_inter), prior), "prior_k": (late(r.prior_k), prior),
+        }
+
+    def lists(self) -> dict[str, list[np.ndarray | None]]:
+        n = len(self.ids)
+        if self.x is None:
+            return {"x": [None] * (2 * n), "center": [None] * (2 * n)}
+        return {"x": [*self.x, *[None] * n], "center": [*[None] * (n + 1), *self.merged.center]}
+
+
+def _batch(runs: list[_Run]) -> pa.RecordBatch:
+    flat, lists = [r.columns() for r in runs], [r.lists() for r in runs]
+    out = []
+    for f in ARROW:
+        if f.name in ("x", "center"):
+            out.append(pa.array([v for l in lists for v in l[f.name]], f.type))
+        else:
+            v, ok = (np.concatenate([c[f.name][i] for c in flat]) for i in (0, 1))
+            out.append(pa.array(v.astype(f.type.to_pandas_dtype()), f.type, mask=~ok))
+    return pa.record_batch(out, schema=ARROW)
+
+
+def _matrix(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Feature lists of equal length as a matrix."""
+    if isinstance(x, pa.ChunkedArray):
+        x = x.combine_chunks()
+    if not len(x):
+        return np.zeros((0, 1))
+    flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)
+    if x.null_count or len(flat) % len(x) or (np.asarray(x.value_lengths()) != len(flat) // len(x)).any() or not np.isfinite(flat).all():
         raise ValueError("Some regions have missing values and missing values are not allowed.")
-    return f["id"].to_numpy(), x
+    return flat.reshape(len(x), -1)
+
+
+def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each id, in the rows' order."""
+    if len(ids) > MOST_ROWS:
+        raise ValueError(f"a run has {len(ids)} rows; the bound is {MOST_ROWS}")
+    first = np.sort(np.unique(ids, return_index=True)[1])
+    return (ids, x) if len(first) == len(ids) else (ids[first], x[first])
+
 
+def _run(key: int, ids: np.ndarray, x: np.ndarray, edges: np.ndarray, method: Method) -> _Run:
+    return _Run(key, ids, x, greedy(len(ids), edges, CRITERIA[method.name](x, method), method.bayesian, method.approx), method.bayesian)
 
-def _run(run: int, ids: np.ndarray, x: np.ndarray, edges: np.ndarray, method: Method) -> pd.DataFrame:
-    state = CRITERIA[method.name](x, method)
-    return _table(run, ids, x, greedy(len(ids), edges, state, method.bayesian, method.approx), method.bayesian)
+
+def each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one run after another, of batches that are ordered by run_key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column("run_key").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if held and held[0].column("run_key")[0].as_py() != keys[lo]:
+                yield held[0].column("run_key")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield held[0].column("run_key")[0].as_py(), pa.Table.from_batches(held)
 
 
 def _dendrogram(result: DataFrame, method: Method) -> Dendrogram:
@@ -63,23 +123,38 @@ def _dendrogram(result: DataFrame, method: Method) -> Dendrogram:
     )
 
 
+def by_run(df: DataFrame) -> DataFrame:
+    """Rows of a run together. The number of partitions is set, as few small rows mean much work here and must not be joined in one task."""
+    spark = df.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(wide, "run_key")
+
+
 def fit_chain(features: DataFrame, method: object = "ward") -> Dendrogram:
     """Rows (run_key, id, ord, x) of each run in order of (ord, id), each adjacent to the next: no edge table, one shuffle."""
     how = method_of(method)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = _sorted_features(pdf, "ord")
-        steps = np.arange(max(len(ids) - 1, 0))
-        return _run(int(pdf["run_key"].iloc[0]), ids, x, np.stack([steps, steps + 1], axis=1), how)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, rows = [], 0
+        for key, t in each_run(batches):
+            ids, x = _once(t["id"].to_numpy(), _matrix(t["x"]))
+            steps = np.arange(len(ids) - 1)
+            done.append(_run(key, ids, x, np.stack([steps, steps + 1], axis=1), how))
+            rows += len(ids)
+            if rows > 20_000:
+                yield _batch(done)
+                done, rows = [], 0
+        if done:
+            yield _batch(done)
 
-    return _dendrogram(features.select("run_key", "id", "ord", "x").groupBy("run_key").applyInPandas(run, RESULT), how)
+    ordered = by_run(features.select("run_key", "id", "ord", "x")).sortWithinPartitions("run_key", "ord", "id").select("run_key", "id", "x")
+    return _dendrogram(ordered.mapInArrow(fit, RESULT), how)
 
 
-def _dense(edges: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
+def _dense(e: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Edges between ids as edges between their ranks; ends that are no ids raise an error."""
-    if not len(edges):
+    if not len(e):
         return np.zeros((0, 2), int)
-    e = edges[["src", "dst"]].to_numpy()
     at = np.searchsorted(ids, e)
     if (at >= len(ids)).any() or (ids[np.minimum(at, len(ids) - 1)] != e).any():
         raise ValueError("an edge has an end without features")
@@ -90,14 +165,16 @@ def fit_graph(features: DataFrame, edges: DataFrame, method: object = "ward") ->
     """Rows (run_key, id, x) under the contiguity graph (run_key, src, dst), which may be repeated, reversed or have loops."""
     how = method_of(method)
 
-    def run(f: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        if not len(f):
+    def fit(f: pa.Table, e: pa.Table) -> pa.Table:
+        if not f.num_rows:
             raise ValueError("an edge has an end without features")
-        ids, x = _sorted_features(f, "id")
-        return _run(int(f["run_key"].iloc[0]), ids, x, _dense(e, ids), how)
+        f = f.sort_by("id")
+        ids, x = _once(f["id"].to_numpy(), _matrix(f["x"]))
+        ends = np.stack([e["src"].to_numpy(), e["dst"].to_numpy()], axis=1)
+        return pa.Table.from_batches([_batch([_run(f["run_key"][0].as_py(), ids, x, _dense(ends, ids), how)])])
 
-    both = features.select("run_key", "id", "x").groupBy("run_key").cogroup(renewed(edges, "run_key", "src", "dst").groupBy("run_key"))
-    return _dendrogram(both.applyInPandas(run, RESULT), how)
+    both = by_run(features.select("run_key", "id", "x")).groupBy("run_key").cogroup(by_run(renewed(edges, "run_key", "src", "dst")).groupBy("run_key"))
+    return _dendrogram(both.applyInArrow(fit, RESULT), how)
 
 
 def fit_flows(zones: DataFrame, edges: DataFrame, flows: DataFrame, *, lam_in: float | None = None, lam_out: float | None = None, approx: bool = False, degrees_from_origin: bool = False) -> Dendrogram:
@@ -115,12 +192,17 @@ def fit_flows(zones: DataFrame, edges: DataFrame, flows: DataFrame, *, lam_in: f
         .unionByName(tag(flows.groupBy("run_key", "o", "d").agg(F.sum("vol").alias("vol")), 2, F.col("o"), F.col("d"), F.col("vol")))
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf.loc[pdf["kind"] == 0, "a"].to_numpy(int))
-        e = pdf[pdf["kind"] == 1].rename(columns={"a": "src", "b": "dst"}).astype({"src": int, "dst": int})
-        w = pdf[(pdf["kind"] == 2) & pdf["a"].isin(ids) & pdf["b"].isin(ids)].sort_values(["a", "b"])
-        at = np.searchsorted(ids, w[["a", "b"]].to_numpy(int)) if len(w) else np.zeros((0, 2), int)
-        state = Flows(len(ids), [(int(o), int(d), float(v)) for (o, d), v in zip(at, w["v"], strict=True)], lam_in, lam_out, degrees_from_origin)
-        return _table(int(pdf["run_key"].iloc[0]), ids, None, greedy(len(ids), _dense(e, ids), state, True, approx), True)
-
-    return _dendrogram(every.groupBy("run_key").applyInPandas(run, RESULT), how)
+    def fit(t: pa.Table) -> pa.Table:
+        kind, a, b = (t[c].to_numpy() for c in ("kind", "a", "b"))
+        ids = np.unique(a[kind == 0].astype(int))
+        ends = np.stack([a[kind == 1], b[kind == 1]], axis=1).astype(int)
+        w = np.stack([a[kind == 2], b[kind == 2]], axis=1).astype(int)
+        v = t["v"].to_numpy()[kind == 2]
+        known = np.isin(w, ids).all(axis=1)
+        order = np.lexsort((w[known, 1], w[known, 0]))
+        at, v = np.searchsorted(ids, w[known][order]), v[known][order]
+        state = Flows(len(ids), [(int(o), int(d), float(u)) for (o, d), u in zip(at, v, strict=True)], lam_in, lam_out, degrees_from_origin)
+        merged = greedy(len(ids), _dense(ends, ids), state, True, approx)
+        return pa.Table.from_batches([_batch([_Run(t["run_key"][0].as_py(), ids, None, merged, True)])])
+
+    return _dendrogram(by_run(every).groupBy("run_key").applyInArrow(fit, RESULT), how)

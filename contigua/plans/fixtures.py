@@ -56,7 +56,7 @@ def roads(spark: SparkSession, folder: str) -> DataFrame:
     n = table(spark, folder, "nodes").where("x is not null and y is not null and not isnan(x) and not isnan(y) and not (x = 0 and y = 0)").groupBy("id").agg(F.min(F.struct("x", "y")).alias("p"))
     links = table(spark, folder, "links").groupBy("link_id").agg(F.min(F.struct("from", "to", "length_m")).alias("l")).select("link_id", "l.*")
     placed = links.join(n.withColumnsRenamed({"id": "from", "p": "a"}), "from").join(n.withColumnsRenamed({"id": "to", "p": "b"}), "to")
-    return placed.where("a <> b").select(single(), F.col("link_id").alias("id"), F.array("a", "b").alias("geometry"))
+    return placed.where("a.x <> b.x or a.y <> b.y").select(single(), F.col("link_id").alias("id"), F.array("a", "b").alias("geometry"))
 
 
 def zones(spark: SparkSession, folder: str) -> DataFrame:
