@@ -35,9 +35,12 @@ def robust_components(m: np.ndarray, seen: np.ndarray, scatter: np.ndarray, roun
 
     Minimises half the squared residual over the seen cells plus a nuclear norm of the low-rank part and an
     absolute norm of the sparse part, by turns; both weights follow from the noise `scatter` (g). The singular
-    vectors come from the r x r Gram matrices, as r, the number of days, is the short side.
+    vectors come from Gram matrices of the short side: days for ordinary sources, slots where slots hold many readings.
     """
     r, c = m.shape[1:]
+    if r > c:
+        low, sparse = robust_components(m.transpose(0, 2, 1), seen.transpose(0, 2, 1), scatter, rounds)
+        return low.transpose(0, 2, 1), sparse.transpose(0, 2, 1)
     tau = (scatter * (np.sqrt(r) + np.sqrt(c)))[:, None]
     gamma = (3.0 * scatter)[:, None, None]
     sparse = np.zeros_like(m)
