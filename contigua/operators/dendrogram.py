@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contigua.operators.fit import by_run, each_run
-from contigua.operators.kernel import cut_labels
+from contigua.operators.kernel import cut_labels, leaf_order
 from contigua.types import Dendrogram
 
 
@@ -95,18 +95,19 @@ def signed_merges(tree: Dendrogram) -> DataFrame:
     return tree.merges.join(n, "run_key").select("run_key", "m", code("left").alias("a"), code("right").alias("b"), "height", "center")
 
 
-def collapse(tree: Dendrogram, leafs: int = 500) -> tuple[DataFrame, DataFrame]:
+def collapse(tree: Dendrogram, leafs: int | None = 500) -> tuple[DataFrame, DataFrame]:
     """The top of each tree: (merges (run_key, m, a, b, height), members (run_key, branch, id)).
 
     The last leafs - 1 merges are kept and numbered anew; what hangs below them becomes branches 1 to `leafs`, written -1 to
-    -leafs, first those on left sides. Smaller trees stay as they are.
+    -leafs, first those on left sides. Smaller trees stay as they are. leafs None: each run's best number of clusters.
     """
-    if leafs < 1:
+    if leafs is not None and leafs < 1:
         raise ValueError("leafs must be at least 1")
+    rows = _packed(tree).withColumn("leafs", F.lit(leafs)) if leafs else by_run(_packed(tree).join(best_k(tree).withColumnRenamed("k", "leafs"), "run_key"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, pairs, height = _unpacked(pdf)
-        n = len(ids)
+        n, leafs = len(ids), int(pdf["leafs"].iloc[0])
         cutoff = max(0, n - leafs)  # merges below become part of branches
         top = np.arange(2 * n - 1)
         for m in range(cutoff):
@@ -127,7 +128,7 @@ def collapse(tree: Dendrogram, leafs: int = 500) -> tuple[DataFrame, DataFrame]:
         out.insert(0, "run_key", pdf["run_key"].iloc[0])
         return out[["run_key", "m", "a", "b", "height", "branch", "id"]]
 
-    both = _packed(tree).groupBy("run_key").applyInPandas(run, "run_key bigint, m int, a int, b int, height double, branch int, id bigint")
+    both = rows.groupBy("run_key").applyInPandas(run, "run_key bigint, m int, a int, b int, height double, branch int, id bigint")
     return both.where("m is not null").select("run_key", "m", "a", "b", "height"), both.where("branch is not null").select("run_key", "branch", "id")
 
 
@@ -175,6 +176,30 @@ def segments(tree: Dendrogram) -> DataFrame:
     return _packed(placed).groupBy("run_key").applyInPandas(run, "run_key bigint, m int, x double, y double, xend double, yend double")
 
 
+def drawing(tree: Dendrogram, most: int = 500) -> tuple[DataFrame, DataFrame]:
+    """What a plot of the top of each tree shows: (lines (run_key, m, x, y, xend, yend), branches (run_key, branch, x, size)).
+
+    Bayesian trees are shown from their best number of clusters, others from `most` branches; branches stand at 1, 2, ...
+    """
+    merges, members = collapse(tree, None if tree.method.bayesian else most)
+    sizes = members.groupBy("run_key", "branch").agg(F.count("*").alias("size"))
+    n = sizes.groupBy("run_key").agg(F.count("*").cast("int").alias("n"))
+    node = lambda c: F.when(F.col(c) < 0, -F.col(c) - 1).otherwise(F.col(c) + F.col("n") - 1)
+    top = merges.join(n, "run_key").select("run_key", "m", node("a").cast("int").alias("left"), node("b").cast("int").alias("right"), "height")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, t in each_run(batches):
+            ids, pairs, _ = _arrays(t)
+            at = np.empty(len(ids), int)
+            at[leaf_order(len(ids), pairs)] = np.arange(len(ids))
+            yield pa.record_batch({"run_key": np.full(len(ids), key), "branch": (np.arange(len(ids)) + 1).astype(np.int32), "place": at})
+
+    bare = Dendrogram(sizes.select("run_key", (F.col("branch") - 1).alias("leaf"), F.col("branch").cast("bigint").alias("id")), top, tree.levels, tree.method)
+    placed = _in_order(bare).mapInArrow(place, "run_key bigint, branch int, place bigint")
+    shown = Dendrogram(placed.select("run_key", (F.col("branch") - 1).alias("leaf"), F.col("branch").cast("bigint").alias("id"), "place"), top, tree.levels, tree.method)
+    return segments(shown), sizes.join(placed, ["run_key", "branch"]).select("run_key", "branch", (F.col("place") + 1).alias("x"), "size")
+
+
 def rollup(labels: DataFrame, facts: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Measures of facts (run_key, id, ...) at each cut: one row for each (run_key, k, cl)."""
     return labels.join(facts, ["run_key", "id"]).groupBy("run_key", "k", "cl").agg(*[m.alias(n) for n, m in measures.items()])

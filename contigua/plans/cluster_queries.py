@@ -408,6 +408,11 @@ def dendro_segments(spark, folder):
     return D.segments(fit_chain(X.chains(spark, folder))).groupBy("run_key").agg(F.count("*").alias("lines"))
 
 
+@query("SELECT user_id AS run_key, count(*) AS n, least(count(*), 12)::BIGINT AS branches FROM events GROUP BY 1")
+def plot_branches(spark, folder):
+    return D.drawing(fit_chain(X.chains(spark, folder)), 12)[1].groupBy("run_key").agg(F.sum("size").alias("n"), F.count("*").alias("branches"))
+
+
 def _chain_method(name: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         # compositions and counts have to be more than one number

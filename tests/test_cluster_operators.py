@@ -152,6 +152,10 @@ def test_collapse_and_front(spark):
     assert len({(r["branch"], cut[r["id"]]) for r in members.collect()}) == 6
     rows = D.front(fit_chain(features(spark, np.repeat([0.0, 9, 1, 8], 10) + rng.normal(size=40)), "bayes_dgmm")).orderBy("k").collect()
     assert rows[0]["k"] == 1 and all(a["xend"] == b["x"] for a, b in zip(rows, rows[1:])) and abs(sum(r["share"] for r in rows) - 1) < 1e-9
+    lines, branches = D.drawing(t, 6)
+    assert lines.count() == 15 and [r["x"] for r in branches.orderBy("x").collect()] == [1, 2, 3, 4, 5, 6] and branches.agg(F.sum("size")).first()[0] == 30
+    b = fit_chain(features(spark, np.repeat([0.0, 50, 1, 80], 10) + rng.normal(size=40)), "bayes_dgmm")
+    assert D.drawing(b)[1].count() == D.best_k(b).first()["k"]
     h = D.cut(t, h=[-1.0, 1e9]).groupBy("cut").agg(F.count_distinct("cl").alias("n")).orderBy("cut").collect()
     assert [r["n"] for r in h] == [30, 1]
     with pytest.raises(ValueError):
