@@ -105,6 +105,9 @@ class LeakFinder:
 
     def __init__(self, items: tuple[tuple[int, str, str], ...], rules: LeakRules):
         self.rules = rules
+        # edits cut a place in runs of words; what they leave has at least so many anchors
+        runs = lambda words: words // rules.words_per_edit
+        self.least = min(w - runs(w) - (rules.anchor_words - 1) * (runs(w) + 1) for w in range(rules.least_words, 2 * rules.least_words))
         self.texts: dict[tuple[str, ...], list[tuple[int, str]]] = defaultdict(list)
         for item, field, text in items:
             words = tuple(normalised(text or "")[0].split())
@@ -140,8 +143,7 @@ class LeakFinder:
             target = self.words[k]
             whole = len(target) < self.rules.least_words  # short texts, as answers, count whole only
             anchor = min(self.rules.anchor_words, len(target))
-            # edits cut the text in runs; what they leave has at least so many anchors
-            least = len(target) - anchor + 1 if whole else min(e_words - (anchor - 1) * (e_words // self.rules.words_per_edit + 1) - e_words // self.rules.words_per_edit for e_words in range(self.rules.least_words, 2 * self.rules.least_words))
+            least = len(target) - anchor + 1 if whole else self.least
             if len({i for _, i in found}) < max(1, least):
                 continue
             if starts is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -320,11 +321,12 @@ class Finder:
         found.update(phones(text))
         found.update(id_numbers(text))
         rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
-        out: list[Span] = []
+        out: list[Span] = []  # in order, apart from each other, so that only neighbours can overlap
         for span in sorted(found, key=lambda s: (rank[s[2]], s[0], -s[1])):
-            if all(span[1] <= o[0] or span[0] >= o[1] for o in out):
-                out.append(span)
-        return sorted(out)
+            k = bisect_left(out, span)
+            if (k == 0 or out[k - 1][1] <= span[0]) and (k == len(out) or span[1] <= out[k][0]):
+                out.insert(k, span)
+        return out
 
 
 @lru_cache(maxsize=2)
