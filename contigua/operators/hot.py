@@ -24,5 +24,8 @@ def wall_micros(ts: Column) -> Column:
 
 
 def day_piece(us: Column, pieces: Column) -> Column:
-    """Which of `pieces` equal parts of the day a time lies in."""
+    """Which of `pieces` equal parts of the day a time lies in.
+
+    The parts are equal in time, so readings that crowd into a moment stay together; they are sorted there, and can spill.
+    """
     return F.floor(F.pmod(us, F.lit(DAY_US)) / 1_000_000 * pieces / 86_400).cast("int")
