@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,23 +25,112 @@ class LeakRules:
     anchor_words: int = 5
 
 
-#: Markup that shows no text, or none of its own. Group `gap` separates words, all else joins what stands beside it.
-#: Short templates are left out whole; of longer ones, as quotations are, and of comments the content counts.
+#: Markup that shows no text. Group `gap` separates words, all else joins what stands beside it.
 MARKUP = re.compile(
-    r"""<ref\b[^<>]*?/>|(?P<note><ref\b[^<>]*>.*?</ref\s*>)
-    |(?P<gap><!--|-->|</?(?:br|p|div|li|ul|ol|tr|td|th|table|blockquote|h\d|hr|poem)\b[^<>]*>|\{\{[^{}]{0,90}\}\}|\{\{[^{}|\[\]\n]{0,40}\|?|\}\}|\[\[(?:[Ff]ile|[Ii]mage|[Cc]ategory|[Kk]ategorie|[Cc]atégorie|[Cc]ategoría):)
-    |</?[a-zA-Z][^<>]{0,300}>
-    |\[\[(?:[^\[\]|\n]{0,300}\|)?|\]\]
+    r"""(?P<gap><!--|-->|</?(?:br|p|div|li|ul|ol|tr|td|th|table|blockquote|h\d|hr|poem)\b[^<>]*>|\{\{|\}\}|\[\[(?:[Ff]ile|[Ii]mage|[Cc]ategory|[Kk]ategorie|[Cc]atégorie|[Cc]ategoría):)
+    |</?[a-zA-Z][^<>]*>
+    |\[\[(?:[^\[\]|\n]*\|)?|\]\]
     |\[(?:https?:)?//[^\s\]]*
     |'{2,}
     |(?P<entity>&(?:\#\d{1,7}|\#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,12});)
     |[­​-‏⁠﻿̀-ͯ]+""",
     re.X | re.S,
 )
+#: Stands between the text and what is taken out of it; more words than a place may have edits, so that none bridge it.
+WALL = " ꙮ" * 6 + " "
 #: A text without any of these has no markup.
-#: Stands between the text and its footnotes; no edits bridge it.
-WALL = " ꙮ" * 16 + " "
 SIGNS = re.compile("[<{\\[&­​-‏⁠﻿̀-ͯ]|''|\\]\\]")
+#: What footnotes and templates begin, end and are divided by.
+NESTED = re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>|</ref\s*>|\{\{|\}\}|\[\[|\]\]|\|")
+#: Templates that note something about the text around them, and names under which templates hold shown text; fixed values.
+NOTES = frozenset(["sfn", "efn", "refn", "ref", "r", "note", "harvnb", "harv", "cn", "fact", "citation needed", "clarify", "when", "who", "which", "by whom", "dubious", "dead link", "page needed", "better source needed", "verify source", "update after", "as of"])
+SHOWN = frozenset(["1", "2", "3", "text", "quote", "content"])
+NAMED = re.compile(r"\s*([^\s={}\[\]<>|][^={}\[\]<>|]*?)\s*=")
+
+Range = tuple[int, int]
+
+
+@dataclass
+class _Element:
+    """A footnote or template: what of it is shown in place, and what is read apart."""
+
+    start: int
+    end: int
+    keep: Range
+    apart: list[Range]
+    joins: bool
+
+
+def _template(text: str, start: int, end: int, bars: list[int]) -> _Element:
+    """Of a template, its longest argument without a name is shown in place; the others are read apart."""
+    cuts = [*bars, end - 2]
+    args = [(a + 1, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+    shown: list[Range] = []
+    for a, b in args:
+        m = NAMED.match(text, a, b)
+        if not m:
+            shown.append((a, b))
+        elif m[1].lower() in SHOWN:
+            shown.append((m.end(), b))
+    name = text[start + 2 : cuts[0]].strip().lower()
+    keep = (end, end) if name in NOTES or not shown else max(shown, key=lambda r: r[1] - r[0])
+    return _Element(start, end, keep, [(a, b) for a, b in args if b != keep[1]], False)
+
+
+def _elements(text: str) -> list[_Element]:
+    """Closed footnotes and templates, in order of their start."""
+    stack: list[tuple[str, int, list[int]]] = []
+    count = {"<": 0, "{": 0, "[": 0}
+    out = []
+    for m in NESTED.finditer(text):
+        t = m[0]
+        if t == "|":
+            if stack and stack[-1][0] == "{":
+                stack[-1][2].append(m.start())
+        elif t.endswith("/>") and t[1] != "/":
+            out.append(_Element(m.start(), m.end(), (m.end(), m.end()), [], True))
+        elif t in ("{{", "[[") or t[:2] == "<r":
+            stack.append((t[0], m.start() if t[0] != "<" else m.end(), []))
+            count[t[0]] += 1
+            if t[0] == "<":
+                stack[-1][2].append(m.start())
+        else:
+            kind = {"}": "{", "]": "[", "<": "<"}[t[0]]
+            if not count[kind] or kind == "[" and stack[-1][0] != "[":
+                continue
+            while True:
+                k, at, marks = stack.pop()
+                count[k] -= 1
+                if k == kind:
+                    break
+            if kind == "<":
+                out.append(_Element(marks[0], m.end(), (m.end(), m.end()), [(at, m.start())], True))
+            elif kind == "{":
+                out.append(_template(text, at, m.end(), marks))
+    out.sort(key=lambda e: e.start)
+    return out
+
+
+def _flow(elements: list[_Element], starts: list[int], ranges: list[Range]) -> Iterator[tuple[int, int, bool, _Element | None]]:
+    """(from, to, joins, element) of what is shown of ranges, in order; an element that ends or begins there is handed out once."""
+    for a, b in ranges:
+        at, i, open_ends = a, bisect_left(starts, a), []
+        while True:
+            begin = elements[i].start if i < len(elements) and elements[i].start < b else None
+            if open_ends and (begin is None or open_ends[-1][0] <= begin):
+                stop, after, joins = open_ends.pop()
+                yield at, stop, joins, None
+                at, i = after, max(i, bisect_left(starts, after))
+            elif begin is not None:
+                e = elements[i]
+                yield at, begin, e.joins, e
+                at = e.keep[0] if e.keep[0] < e.keep[1] else e.end
+                i = max(i + 1, bisect_left(starts, at))
+                if e.keep[0] < e.keep[1]:
+                    open_ends.append((e.keep[1], e.end, e.joins))
+            else:
+                yield at, b, False, None
+                break
 
 
 class _Plain(dict):
@@ -58,12 +148,16 @@ PLAIN = _Plain()
 def normalised(text: str) -> tuple[str, list[tuple[int, int]]]:
     """The text in lower case without markup, accents and punctuation, and the offset map.
 
-    Footnotes are left out where they stand and follow the text, each behind a wall of words that no text has.
+    Footnotes, and of templates all but the longest argument without a name, are left out where they stand and follow the
+    text, each behind a wall of words that no text has: nothing is dropped.
     The map has (place in the result, place in the original) where they begin to differ by another distance.
     """
     if not SIGNS.search(text):
         return text.translate(PLAIN), [(0, 0)]
-    parts, at, out, shifts, notes = [], 0, 0, [(0, 0)], []
+    elements = _elements(text)
+    starts = [e.start for e in elements]
+    parts, out, shifts = [], 0, [(0, 0)]
+    ahead: list[list[Range]] = [[(0, len(text))]]
 
     def put(piece: str) -> None:
         nonlocal out
@@ -71,24 +165,30 @@ def normalised(text: str) -> tuple[str, list[tuple[int, int]]]:
             parts.append(piece)
             out += len(piece)
 
-    for m in MARKUP.finditer(text):
-        put(text[at : m.start()])
-        if m.lastgroup == "gap":
-            put(" ")
-        elif m.lastgroup == "note":
-            notes.append((m.start() + m[0].index(">") + 1, m.start() + m[0].rindex("<")))
-        elif m.lastgroup == "entity":
-            shown = html.unescape(m[0])[:1]
-            put("" if shown in "­​‌‍‎‏" or shown == "&" and len(m[0]) != 5 else shown)
-        at = m.end()
-        shifts.append((out, at))
-    put(text[at:])
-    plain = "".join(parts).translate(PLAIN)
-    for a, b in notes:
-        more, moved = normalised(text[a:b])
-        shifts += [(len(plain) + len(WALL) + p, a + q) for p, q in moved]
-        plain += WALL + more
-    return plain, shifts
+    for ranges in ahead:  # grows while it is read
+        if out:
+            put(WALL)
+        for a, b, joins, element in _flow(elements, starts, ranges):
+            shifts.append((out, a))
+            at = a
+            for m in MARKUP.finditer(text, a, b):
+                put(text[at : m.start()])
+                if m.lastgroup == "gap":
+                    put(" ")
+                elif m.lastgroup == "entity":
+                    shown = html.unescape(m[0])[:1]
+                    put("" if shown in "­​‌‍‎‏" or shown == "&" and len(m[0]) != 5 else shown)
+                at = m.end()
+                shifts.append((out, at))
+            put(text[at:b])
+            if not joins:
+                put(" ")
+            if element and any(WORDED.search(text, *r) for r in element.apart):
+                ahead.append(element.apart)
+    return "".join(parts).translate(PLAIN), shifts
+
+
+WORDED = re.compile(r"\w")
 
 
 def original_place(shifts: list[tuple[int, int]], place: int) -> int:
@@ -227,7 +327,8 @@ def leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     A test text of at least `least_words` words is found where that many successive words of it stand in order with at
     most one edit (a word changed, dropped or added) in `words_per_edit`; a shorter one, as most answers are, only whole
     and exact. One automaton holds every run of `anchor_words` words of all test texts; each document is normalised and
-    scanned once, and word alignment tests what has anchors enough. A text of less than `anchor_words` words, which stands
+    scanned once, markup aside (of a template its longest argument without a name stands in place, its others and
+    footnotes are read after the text), and word alignment tests what has anchors enough. A text of less than `anchor_words` words, which stands
     in many documents by chance, counts only beside another text of its item. Places are 0-based in the original text, the first
     place found for each item and field.
 
