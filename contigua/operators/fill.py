@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contigua.operators.hot import DAY_US, day_piece, hot_sources, wall_micros
+from contigua.plans.shared import Kept
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,10 @@ class Category:
     default: Column | None = None
 
 
-def _frequent(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, value): the most frequent value of each key, from counts that are made before rows move."""
-    counts = rows.where(F.col(name).isNotNull()).groupBy(key, name).agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(F.min(F.struct(-F.col("n"), F.col(name).alias("value"))).alias("best")).select(key, F.col("best.value").alias(f"usual_{name}_{key}"))
+def _frequent(counts: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, value): the most frequent value of each key, from counts of rows."""
+    by = counts.where(F.col(name).isNotNull()).groupBy(key, name).agg(F.sum("n").alias("n"))
+    return by.groupBy(key).agg(F.min(F.struct(-F.col("n"), F.col(name).alias("value"))).alias("best")).select(key, F.col("best.value").alias(f"usual_{name}_{key}"))
 
 
 def fill_missing(rows: DataFrame, *, source: str, ts: str, row_id: str, numerics: list[Numeric], categories: list[Category], piece_rows: int = 50_000) -> DataFrame:
@@ -54,7 +55,8 @@ def fill_missing(rows: DataFrame, *, source: str, ts: str, row_id: str, numerics
     `next`). The distance is the time to the nearer reading used, in seconds; null where a value comes from counts.
 
     Work is cut by source and date, and for a source with more than `piece_rows` rows by parts of the day too; what is
-    known at the edges of a piece comes from one row for each piece, so that no task gets a hot source whole.
+    known at the edges of a piece comes from one row for each piece, so that no task gets a hot source whole. The input is
+    read three times: its sources are counted, its pieces summed up (and kept in the shared folder), its rows filled.
 
     Defined cases: rows without a source or time are kept, with only what `default` fills; rows may be repeated, each is
     filled; ties in time are ordered by row id; a field nothing is known of stays null, with `filled` false and no method;
@@ -66,13 +68,27 @@ def fill_missing(rows: DataFrame, *, source: str, ts: str, row_id: str, numerics
     base = base.withColumn("date", F.floor(F.col("us") / DAY_US).cast("int"))
     placed = base.where("key is not null and us is not null")
     hot = hot_sources(placed, "key", piece_rows)
-    pieces = placed.join(hot, "key", "left").withColumn("piece", F.coalesce(day_piece(F.col("us"), F.ceil(F.col("n") / piece_rows)), F.lit(0))).drop("n")
-
-    def known(i: int) -> Column:
-        return F.when(F.col(f"v{i}").isNotNull(), F.struct(F.col("us").alias("t"), F.col(f"v{i}").alias("v")))
+    loose = F.col("key").isNull() | F.col("us").isNull()
+    # rows without a source or time have no neighbours: each is a piece of its own, wherever it lies
+    piece = F.when(loose, F.xxhash64("rid")).otherwise(F.coalesce(day_piece(F.col("us"), F.ceil(F.col("n") / piece_rows)), F.lit(0)).cast("bigint"))
+    pieces = base.join(hot, "key", "left").withColumn("piece", piece).drop("n")
+
+    # what is known of each piece, counted before rows move: a row for each combination of categories in it
+    cats = [i for i, f in enumerate(fields) if isinstance(f, Category)]
+    nums = [i for i, f in enumerate(fields) if isinstance(f, Numeric)]
+    when = {i: F.when(F.col(f"v{i}").isNotNull(), F.col("us")) for i in nums}
+    ends = [(F.min, F.min_by, "first"), (F.max, F.max_by, "last")]
+    aggs = [F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")]
+    aggs += [c for i in nums for f, by, n in ends for c in (f(when[i]).alias(f"{n}{i}_t"), by(f"v{i}", when[i]).alias(f"{n}{i}_v"))]
+    summary = Kept(pieces.where(~loose).groupBy("key", "date", "piece", *[f"v{i}" for i in cats]).agg(*aggs), "pieces").df
 
     # one row a piece: the first and last known reading of each field, carried over pieces
-    edges = pieces.groupBy("key", "date", "piece").agg(*[f(known(i)).alias(f"{n}{i}") for i in range(len(fields)) for f, n in ((F.min, "first"), (F.max, "last"))])
+    def known(i: int, n: str) -> Column:
+        if i in nums:
+            return F.when(F.col(f"{n}{i}_t").isNotNull(), F.struct(F.col(f"{n}{i}_t").alias("t"), F.col(f"{n}{i}_v").alias("v")))
+        return F.when(F.col(f"v{i}").isNotNull(), F.struct(F.col(f"{n}_us").alias("t"), F.col(f"v{i}").alias("v")))
+
+    edges = summary.groupBy("key", "date", "piece").agg(*[f(known(i, n)).alias(f"{n}{i}") for i in range(len(fields)) for f, _, n in ends])
     carried = []
     for i, f in enumerate(fields):
         span = "key, date" if isinstance(f, Numeric) else "key"
@@ -81,13 +97,14 @@ def fill_missing(rows: DataFrame, *, source: str, ts: str, row_id: str, numerics
     edges = edges.select("key", "date", "piece", *carried)
     for i, f in enumerate(fields):
         if isinstance(f, Category) and f.by_source:
-            edges = edges.join(_frequent(placed, "key", f"v{i}"), "key", "left")
+            edges = edges.join(_frequent(summary, "key", f"v{i}"), "key", "left")
         if isinstance(f, Category) and f.by_date:
-            edges = edges.join(_frequent(placed, "date", f"v{i}"), "date", "left")
+            edges = edges.join(_frequent(summary, "date", f"v{i}"), "date", "left")
 
     over = "over (partition by key, date, piece order by us, rid)"
-    looked = pieces.join(edges, ["key", "date", "piece"]).withColumns(
-        {f"{n}{i}": F.coalesce(F.expr(f"{fn}(if(v{i} is not null, named_struct('t', us, 'v', v{i}), null)) ignore nulls {over}"), F.col(f"{far}{i}")) for i in range(len(fields)) for n, fn, far in (("p", "lag", "before"), ("q", "lead", "after"))}
+    alone = "key is null or us is null"
+    looked = pieces.join(edges, ["key", "date", "piece"], "left").withColumns(
+        {f"{n}{i}": F.coalesce(F.expr(f"if({alone}, null, {fn}(if(v{i} is not null, named_struct('t', us, 'v', v{i}), null)) ignore nulls {over})"), F.col(f"{far}{i}")) for i in range(len(fields)) for n, fn, far in (("p", "lag", "before"), ("q", "lead", "after"))}
     )
 
     out: list[Column] = [F.col("rid").alias(row_id), F.col("key").alias(source), F.col("us")]
@@ -111,11 +128,4 @@ def fill_missing(rows: DataFrame, *, source: str, ts: str, row_id: str, numerics
 
         method = F.when(v.isNull(), pick(0))
         out += [F.coalesce(v, pick(2)).alias(f.name), method.isNotNull().alias(f"{f.name}_filled"), method.cast("string").alias(f"{f.name}_method"), F.when(v.isNull(), pick(3)).cast("double").alias(f"{f.name}_distance_s")]
-    filled = looked.select(*out)
-
-    loose: list[Column] = [F.col("rid").alias(row_id), F.col("key").alias(source), F.col("us")]
-    for i, f in enumerate(fields):
-        v, d = F.col(f"v{i}"), getattr(f, "default", None)
-        other = d if d is not None else F.lit(None)
-        loose += [F.coalesce(v, other).alias(f.name), (v.isNull() & other.isNotNull()).alias(f"{f.name}_filled"), F.when(v.isNull() & other.isNotNull(), "default").alias(f"{f.name}_method"), F.lit(None).cast("double").alias(f"{f.name}_distance_s")]
-    return filled.unionByName(base.where("key is null or us is null").select(*loose))
+    return looked.select(*out)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contigua.operators.delaunay import triangulation_edges
-from contigua.operators.kernel import canonical
+from contigua.operators.labels import least_labels
 from contigua.plans.shared import Kept
 
 
@@ -43,44 +43,50 @@ def within_distance(points: DataFrame, eps: float) -> DataFrame:
     return near.select("run_key", F.least("id", "id2").alias("src"), F.greatest("id", "id2").alias("dst")).distinct()
 
 
-def nearest(points: DataFrame, k: int = 3, rows_per_cell: int = 64) -> DataFrame:
-    """Each point (run_key, id, x, y) with its k - 1 nearest others (k counts the point itself), made symmetric.
+def nearest(points: DataFrame, k: int = 3) -> DataFrame:
+    """Each point (run_key, id, x, y) with its k - 1 nearest others (k counts the point itself), made symmetric. Ties go to the lower id.
 
-    Points meet in square cells that hold about rows_per_cell of them. A point whose (k - 1)-th candidate lies within its 3 x 3
-    cells is settled; the others look again in cells twice as wide, until all are settled. Ties go to the lower id.
+    Cells are halved again and again; a point looks for neighbours in cells twice as wide as the smallest of its own that
+    holds k points. The 3 x 3 of them around it hold its nearest for certain, and few more: dense places have small cells,
+    empty ones large cells. Of points at one place only the k lowest ids can be anybody's nearest.
+
+    Missing or infinite coordinates raise an error. A run with fewer than k points links all of them.
     """
     want = k - 1
+    none = points.select("run_key", F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
     if want < 1:
-        return points.select("run_key", F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
+        return none
     p = points.select("run_key", "id", F.col("x").cast("double"), F.col("y").cast("double")).dropDuplicates(["run_key", "id"])
-    stats = p.groupBy("run_key").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).agg(F.max("n").alias("n"), F.max(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))).alias("w")).first()
+    fine = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))  # false for NaN, which is greater than any number
+    stats = p.groupBy("run_key").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(fine, F.lit(False))).alias("bad"), *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in ((0, F.min), (1, F.max))])
+    stats = stats.agg(F.max("n").alias("n"), F.sum("bad").alias("bad"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.greatest(F.max("x1") - F.min("x0"), F.max("y1") - F.min("y0")).alias("width")).first()
     if not stats["n"]:
-        return points.select("run_key", F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
-    width = max(stats["w"], 1e-9)
-    side = width / max(1.0, (stats["n"] / max(rows_per_cell, 4 * want)) ** 0.5)
-    open_points, found = p, None
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    while True:
-        last = side > width
-        at = lambda df, s=side: df.withColumns({"cx": F.floor(F.col("x") / s), "cy": F.floor(F.col("y") / s)})
-        seek = at(open_points).withColumn("o", F.explode(around)).select("run_key", F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
-        d2 = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)
-        met = seek.join(at(p), ["run_key", "cx", "cy"]).where("src <> id").select("run_key", "src", "sx", "sy", F.col("id").alias("dst"), d2.alias("d2"))
-        w = Window.partitionBy("run_key", "src")
-        top = met.withColumn("r", F.row_number().over(w.orderBy("d2", "dst"))).where(F.col("r") <= want)
-        # all points closer than the rim of the 3 x 3 cells have been met
-        rim = F.least(*[F.least(side + F.pmod(F.col(c), F.lit(side)), 2 * side - F.pmod(F.col(c), F.lit(side))) for c in ("sx", "sy")])
-        settled = top.withColumn("ok", F.lit(True) if last else (F.count("*").over(w) == want) & (F.sqrt(F.max("d2").over(w)) < rim))
-        settled = Kept(settled.select("run_key", "src", "dst", "ok"), "nearest").df
-        good = settled.where("ok").select("run_key", "src", "dst")
-        found = good if found is None else found.unionByName(good)
-        if last:
-            break
-        open_points = open_points.join(good.select("run_key", F.col("src").alias("id")).distinct(), ["run_key", "id"], "left_anti")
-        if not open_points.limit(1).count():
-            break
-        side *= 2
-    return canonical_edges(found)
+        return none
+    if stats["bad"]:
+        raise ValueError("Some regions have missing values and missing values are not allowed.")
+    top = min(30, int(np.ceil(np.log2(max(2.0, stats["n"] ** 0.5)))) + 8)
+    unit = max(stats["width"], 1e-300) / 2**top
+    at = lambda c: F.least(F.floor((F.col(c) - stats[f"{c}0"]) / unit), F.lit(2**top - 1)).cast("bigint")
+    p = Kept(p.withColumns({"ix": at("x"), "iy": at("y")}), "points").df
+
+    keys = ["run_key", "level", "cx", "cy"]
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+    cell = lambda c: F.expr(f"shiftright(i{c}, level)").alias(f"c{c}")
+    counts = p.groupBy("run_key", "ix", "iy").agg(F.count("*").alias("n"))
+    full = counts.select("run_key", "ix", "iy", "n", levels).groupBy("run_key", "level", cell("x"), cell("y")).agg(F.sum("n").alias("n")).where(F.col("n") >= k).select(*keys)
+    own = counts.select("run_key", "ix", "iy", levels).withColumns({"cx": cell("x"), "cy": cell("y")}).join(full, keys, "left_semi").groupBy("run_key", "ix", "iy").agg(F.min("level").alias("level"))
+    seek = p.join(own, ["run_key", "ix", "iy"], "left").withColumn("level", F.coalesce("level", F.lit(top)) + 1)
+    seek = Kept(seek.select("run_key", F.col("id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), "level", cell("x"), cell("y")), "seek").df
+    used = [r["level"] for r in seek.select("level").distinct().collect()]  # at most 31
+
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("o")
+    asked = seek.select("run_key", "src", "sx", "sy", "level", "cx", "cy", around).withColumns({"cx": F.col("cx") + F.col("o.dx"), "cy": F.col("cy") + F.col("o.dy")}).drop("o")
+    first = p.withColumn("r", F.row_number().over(Window.partitionBy("run_key", "x", "y").orderBy("id"))).where(F.col("r") <= k)
+    held = first.select("run_key", "id", "x", "y", "ix", "iy", F.explode(F.array(*[F.lit(v) for v in used])).alias("level")).withColumns({"cx": cell("x"), "cy": cell("y")})
+    d2 = F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)
+    met = asked.join(held, keys).where("src <> id").select("run_key", "src", F.col("id").alias("dst"), d2.alias("d2"))
+    best = met.withColumn("r", F.row_number().over(Window.partitionBy("run_key", "src").orderBy("d2", "dst"))).where(F.col("r") <= want)
+    return canonical_edges(best.select("run_key", "src", "dst"))
 
 
 def delaunay(points: DataFrame) -> DataFrame:
@@ -126,29 +132,15 @@ def laplacian(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_key, id, component): the least id of each node's component, found in one task for each run, as the fit needs it there anyway."""
-
-    def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(n["id"].to_numpy())
-        root = np.arange(len(ids))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        if len(e) and len(ids):
-            ends = e[["src", "dst"]].to_numpy()
-            ends = ends[np.isin(ends, ids).all(axis=1)]
-            for a, b in canonical(np.searchsorted(ids, ends)).tolist():
-                a, b = find(a), find(b)
-                root[max(a, b)] = min(a, b)
-        top = [find(i) for i in range(len(ids))]
-        key = n["run_key"].iloc[0] if len(n) else (e["run_key"].iloc[0] if len(e) else 0)
-        return pd.DataFrame({"run_key": key, "id": ids, "component": ids[top] if len(ids) else []})
-
-    return nodes.select("run_key", "id").groupBy("run_key").cogroup(renewed(edges, "run_key", "src", "dst").groupBy("run_key")).applyInPandas(run, "run_key bigint, id bigint, component bigint")
+    """(run_key, id, component): the least id of each node's component, found across the cluster. Edges with an end that is no node don't count."""
+    ids = nodes.select("run_key", "id").distinct()
+    e = canonical_edges(renewed(edges, "run_key", "src", "dst"))
+    for end in ("src", "dst"):
+        e = e.join(ids.withColumnRenamed("id", end), ["run_key", end], "left_semi")
+    e = Kept(both_ways(e.select("run_key", "src", "dst")), "edges")
+    found = least_labels(ids, e.df)
+    e.drop()
+    return found.df.withColumnRenamed("label", "component")
 
 
 def require_connected(nodes: DataFrame, edges: DataFrame) -> None:

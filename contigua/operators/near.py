@@ -6,27 +6,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contigua.plans.shared import Kept
+
 #: Candidate pairs that a sweep compares at once.
 BLOCK = 2_000_000
+#: Most slabs of one strip. With more rows at one latitude slabs grow, and are still swept row by row.
+MOST_SLABS = 8_192
 
 
-def _bucket(value: Column, bounds: list[float], first: int = 0) -> Column:
-    """How many bounds are at most `value`, as a balanced tree of comparisons inside generated code."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(value < bounds[mid], _bucket(value, bounds[:mid], first)).otherwise(_bucket(value, bounds[mid + 1 :], first + mid + 1))
-
-
-def _bounds(rows: DataFrame, col: str, parts: int) -> list[float]:
+def _bounds(rows: DataFrame, col: str, parts: int) -> np.ndarray:
     """Distinct inner quantiles that cut the rows into about `parts` ranges."""
     if parts < 2:
-        return []
-    cuts = rows.approxQuantile(col, [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted(set(cuts))
+        return np.zeros(0)
+    return np.unique(rows.approxQuantile(col, [i / parts for i in range(1, parts)], 0.2 / parts))
+
+
+def _slab_bounds(rows: DataFrame, tile_rows: int) -> dict[int, np.ndarray]:
+    """For each crowded strip of rows (strip, x) the quantiles of x that cut it, all from one grouped aggregation."""
+    crowded = {r["strip"]: r["n"] for r in rows.groupBy("strip").agg(F.count("*").alias("n")).where(F.col("n") > 2 * tile_rows).collect()}
+    if not crowded:
+        return {}
+    slabs = min(1 << (max(crowded.values()) // tile_rows).bit_length(), MOST_SLABS)
+    share = F.array(*[F.lit(i / slabs) for i in range(1, slabs)])
+    cut = rows.where(F.col("strip").isin(list(crowded))).groupBy("strip").agg(F.percentile_approx("x", share, F.lit(10 * slabs)).alias("cuts"))
+    return {r["strip"]: np.unique(r["cuts"]) for r in cut.collect()}
 
 
 def _pairs(cur: tuple, act: tuple, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,13 +81,43 @@ def _sweep(batches: Iterator[pa.RecordBatch], radius: float) -> Iterator[pa.Reco
                 a = stop
 
 
-def near_pairs(points: DataFrame, radius: float, *, id_col: str = "id", x: str = "x", y: str = "y", zero_is_missing: bool = True, tile_rows: int = 100_000, max_parts: int = 1024) -> DataFrame:
+def _placer(ybounds: np.ndarray, slabs: dict[int, np.ndarray], radius: float):
+    """Rows (id, x, y) in each tile that they touch, by binary search in the bounds; home marks the tile that a row lies in."""
+    wide = radius * (1 + 1e-9)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "x", "y"))
+            if not len(i):
+                continue
+            strip, upper = np.searchsorted(ybounds, y, "right"), np.searchsorted(ybounds, y + wide, "right")
+            times = upper - strip + 1
+            who = np.repeat(np.arange(len(i)), times)
+            at = np.arange(len(who)) - np.repeat(np.cumsum(times) - times, times) + strip[who]
+            slab, first, last = (np.zeros(len(who), np.int64) for _ in range(3))
+            for s in np.intersect1d(at, list(slabs)) if slabs else ():
+                here = at == s
+                for out, shift in ((slab, 0.0), (first, -wide), (last, wide)):
+                    out[here] = np.searchsorted(slabs[int(s)], x[who[here]] + shift, "right")
+            times = last - first + 1
+            more = np.repeat(np.arange(len(who)), times)
+            of = np.arange(len(more)) - np.repeat(np.cumsum(times) - times, times) + first[more]
+            w, a = who[more], at[more]
+            yield pa.record_batch({"id": i[w], "x": x[w], "y": y[w], "tile": a * MOST_SLABS + of, "home": (a == strip[w]) & (of == slab[more])})
+
+    return place
+
+
+def near_pairs(points: DataFrame, radius: float, *, id_col: str = "id", x: str = "x", y: str = "y", zero_is_missing: bool = True, tile_rows: int = 100_000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: points whose Euclidean distance is at most `radius`, each pair once.
 
-    Latitude (y) is cut at approximate quantiles into strips of about `tile_rows` points. A point also goes to the
-    strips that begin less than `radius` above it. A strip that still holds more than twice `tile_rows` (many equal
-    latitudes) is cut again along x in the same way, with overlap on both sides. Each tile is sorted by y and swept with
-    an active set ordered by x; a pair belongs to the tile that is home to its later point by (y, id).
+    The points are read once and kept in the shared folder, each id once. Latitude (y) is cut at approximate quantiles into
+    strips of about `tile_rows` points. A point also goes to the strips that begin less than `radius` above it. A strip that
+    still holds more than twice `tile_rows` (many equal latitudes) is cut again along x in the same way, with overlap on
+    both sides; the bounds of all of them come from one aggregation. Each tile is sorted by y and swept with an active set
+    ordered by x; a pair belongs to the tile that is home to its later point by (y, id).
+
+    Only the bounds go to the workers: a number for every `tile_rows` points.
 
     Defined cases: a point has no position, and is in no pair, if id, x or y is null, x or y is NaN or infinite, or, with
     zero_is_missing, both are 0. Repeated rows count once; of several positions of one id the least (x, y) counts.
@@ -92,26 +128,19 @@ def near_pairs(points: DataFrame, radius: float, *, id_col: str = "id", x: str =
     rows = points.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), px.alias("x"), py.alias("y")).where("id is not null and abs(x) < double('infinity') and abs(y) < double('infinity')")
     if zero_is_missing:
         rows = rows.where("not (x = 0 and y = 0)")
-    rows = rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    rows = Kept(rows.groupBy("id").agg(F.min(F.struct("x", "y")).alias("p")).select("id", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "points").df
 
-    total = points.count()
-    parts = max(1, min(max_parts, -(-total // tile_rows), total))
-    parts = max(parts, min(spark.sparkContext.defaultParallelism, total // 1000)) if total else 1
+    total = rows.count()
+    parts = max(1, -(-total // tile_rows), min(spark.sparkContext.defaultParallelism, total // 1000))
     ybounds = _bounds(rows, "y", parts)
     wide = float(radius)
-    rows = rows.withColumns({"strip": _bucket(F.col("y"), ybounds), "upper": _bucket(F.col("y") + wide * (1 + 1e-9), ybounds)})
-    crowded = [r.strip for r in rows.groupBy("strip").count().where(F.col("count") > 2 * tile_rows).collect()]  # at most one row for each strip
-    slabs: dict[int, list[float]] = {s: _bounds(rows.where(F.col("strip") == s), "x", min(max_parts, 64)) for s in crowded}
-    tiles = rows.select("id", "x", "y", "strip", F.explode(F.sequence("strip", "upper")).alias("at"))
-
-    slab, first, last = F.lit(0), F.lit(0), F.lit(0)
-    for s, cuts in slabs.items():
-        here = F.col("at") == s
-        slab = F.when(here, _bucket(F.col("x"), cuts)).otherwise(slab)
-        first = F.when(here, _bucket(F.col("x") - wide * (1 + 1e-9), cuts)).otherwise(first)
-        last = F.when(here, _bucket(F.col("x") + wide * (1 + 1e-9), cuts)).otherwise(last)
-    tiles = tiles.withColumns({"slab": slab, "first": first, "last": last}).select("id", "x", "y", "strip", "at", "slab", F.explode(F.sequence("first", "last")).alias("of"))
-    tiles = tiles.select("id", "x", "y", (F.col("at") * 1024 + F.col("of")).alias("tile"), ((F.col("at") == F.col("strip")) & (F.col("of") == F.col("slab"))).alias("home"))
+
+    def strips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"strip": np.searchsorted(ybounds, b.column("y").to_numpy(), "right"), "x": b.column("x")})
+
+    slabs = _slab_bounds(rows.mapInArrow(strips, "strip long, x double"), tile_rows) if total > 2 * tile_rows else {}
+    tiles = rows.mapInArrow(_placer(ybounds, slabs, wide), "id long, x double, y double, tile long, home boolean")
     count = len(ybounds) + 1 + sum(map(len, slabs.values()))
-    tiles = tiles.repartition(max(1, min(count, 4096)), "tile").sortWithinPartitions("tile", "y", "id")
+    tiles = tiles.repartition(max(1, min(count, 16_384)), "tile").sortWithinPartitions("tile", "y", "id")
     return tiles.mapInArrow(lambda it: _sweep(it, wide), "id_a long, id_b long")

@@ -10,13 +10,13 @@ from contigua.operators.graph import both_ways
 
 
 def wide_to_long(wide: DataFrame, key: str, pattern: str = r"^D(\d+)T(\d+)H(\d+)$") -> DataFrame:
-    """(key, day, hour, minute, value) from columns named by day and time, such as D7T8H30."""
+    """(key, day, hour, minute, value) from columns named by day and time, such as D7T8H30. A value that is not a number is null."""
     import re
 
     cols = [c for c in wide.columns if re.search(pattern, c)]
     long = wide.unpivot([key], cols, "name", "value")
     part = lambda g: F.regexp_extract("name", pattern, g).cast("int")
-    return long.select(key, part(1).alias("day"), part(2).alias("hour"), part(3).alias("minute"), "value")
+    return long.select(key, part(1).alias("day"), part(2).alias("hour"), part(3).alias("minute"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
 
 
 def ceiling_window(ts: Column, seconds: int) -> Column:

@@ -587,7 +587,7 @@ def sbm_regions(spark, folder):
 # ---- steps around a fit ----------------------------------------------------------------------------------------------
 
 
-@query("""SELECT link_id, 7 AS day, 0 AS hour, 5 AS minute, D7 AS value FROM v_pick UNION ALL SELECT link_id, 8, 0, 5, D8 FROM v_pick UNION ALL SELECT link_id, 9, 0, 5, D9 FROM v_pick""")
+@query("""SELECT link_id, day, 0 AS hour, 5 AS minute, CASE WHEN NOT isnan(v) THEN v END AS value FROM (SELECT link_id, 7 AS day, D7 AS v FROM v_pick UNION ALL SELECT link_id, 8, D8 FROM v_pick UNION ALL SELECT link_id, 9, D9 FROM v_pick)""")
 def wide_to_long(spark, folder):
     wide = table(spark, folder, "v_pick").withColumnsRenamed({d: f"{d}T0H5" for d in ("D7", "D8", "D9")})
     return W.wide_to_long(wide, "link_id")

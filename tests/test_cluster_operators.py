@@ -50,6 +50,30 @@ def test_point_graphs_match_brute_force(spark):
         assert edges_of(G.nearest(df, k)) == want
     assert G.nearest(df, 1).count() == 0
     assert len(edges_of(G.nearest(points(spark, p[:3]), 9))) == 3
+    for bad in (math.nan, math.inf):
+        with pytest.raises(ValueError, match="missing values"):
+            G.nearest(points(spark, [[0, 0], [1, 1], [bad, 2]]), 2)
+
+
+def test_nearest_among_crowds(spark):
+    """A crowd in a corner of a wide plane, and very many points at one place."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.uniform(size=(20, 2)) * 1e6, rng.uniform(size=(300, 2)) * 1e-3, np.full((3000, 2), 7.0)])
+    d = lambda i: ((p - p[i]) ** 2).sum(-1)
+    want = set()
+    for i in range(len(p)):
+        order = np.lexsort((np.arange(len(p)), d(i)))
+        want |= {tuple(sorted((i, int(j)))) for j in [j for j in order[:5] if j != i][:2]}
+    assert edges_of(G.nearest(points(spark, p), 3)) == want
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    nodes = spark.createDataFrame([(r, i) for r in (0, 1) for i in range(300)], "run_key bigint, id bigint")
+    e = [(0, i, i + 1) for i in range(149)] + [(0, 299, i) for i in range(150, 299)] + [(1, 5, 5), (1, 7, 900), (1, 9, 8), (1, 8, 9)]
+    edges = spark.createDataFrame(e, "run_key bigint, src bigint, dst bigint")
+    got = {(r["run_key"], r["id"]): r["component"] for r in G.components(nodes, edges).collect()}
+    assert all(got[0, i] == (0 if i < 150 else 150) for i in range(300)) and all(got[1, i] == (8 if i == 9 else i) for i in range(300))
+    assert G.components(nodes.limit(0), edges).count() == 0 and G.components(nodes, edges.limit(0)).where("id <> component").count() == 0
 
 
 def test_delaunay_has_empty_circles_and_handles_degenerate_points():
