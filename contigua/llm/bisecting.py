@@ -14,13 +14,17 @@ from pyspark.sql.window import Window
 from contigua.plans.shared import Kept
 
 
+#: Rounds of 2-means in a split, in one task as across the cluster.
+ROUNDS = 4
+
+
 @dataclass(frozen=True)
 class Limits:
     """radius: no member of a leaf is farther from its centre; cell: side of the cells rows are counted in before clustering."""
 
     radius: float
     cell: float
-    node_cells: int = 500_000
+    node_cells: int = 100_000
     block_rows: int = 5_000
 
 
@@ -54,7 +58,13 @@ def _corner(lo: np.ndarray, hi: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt((np.maximum(np.abs(lo - centre), np.abs(hi - centre)) ** 2).sum(axis=1))
 
 
-def bisect(weight: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: float) -> np.ndarray:
+def _main_axis(scatter: np.ndarray) -> np.ndarray:
+    """The direction of most dispersion, its largest part above 0."""
+    axis = np.linalg.eigh(scatter)[1][:, -1]
+    return axis if axis[np.argmax(np.abs(axis))] > 0 else -axis
+
+
+def bisect(weight: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarray, radius: float, rounds: int = ROUNDS) -> np.ndarray:
     """Leaf numbers of weighted cells: the node with the largest dispersion is split by 2-means until all leaves are compact.
 
     A split starts from both sides of the mean along the main axis; ties stay on the lower side. A node of one cell is a leaf.
@@ -79,14 +89,13 @@ def bisect(weight: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarray,
         members = heapq.heappop(heap)[2]
         w, x = weight[members], mean[members]
         centre = (w[:, None] * x).sum(axis=0) / w.sum()
-        axis = np.linalg.eigh(((x - centre) * w[:, None]).T @ (x - centre))[1][:, -1]
-        along = (x - centre) @ axis
+        along = (x - centre) @ _main_axis(((x - centre) * w[:, None]).T @ (x - centre))
         right = along > 0
         if not right.any() or right.all():
             right = along > np.median(along)
         if not right.any():
             right = np.arange(len(members)) >= len(members) // 2
-        for _ in range(10):
+        for _ in range(rounds):
             one = np.average(x[~right], axis=0, weights=w[~right])
             two = np.average(x[right], axis=0, weights=w[right])
             now = ((x - two) ** 2).sum(axis=1) < ((x - one) ** 2).sum(axis=1)
@@ -98,39 +107,51 @@ def bisect(weight: np.ndarray, mean: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return leaf
 
 
-def _split_large(cells: DataFrame, d: int, most: int) -> tuple[DataFrame, list[Kept]]:
-    """Cells with a node each, nodes of more than `most` cells split by 2-means with one aggregation a step, across the cluster."""
-    kept = [Kept(cells.withColumn("node", F.lit("r")), "cells")]
+def _split_large(cells: DataFrame, d: int, most: int) -> Kept:
+    """Cells with a node each, nodes of more than `most` cells split by 2-means across the cluster, by the rule of `bisect`.
+
+    All nodes that are too large are split at once. A pass sums up both sides of each, and the sides' means, a row for each
+    such node (fewer than cells / most), go back as a small table. Rows that stay and rows that move are told by comparing
+    a projection with a bound: the main axis first, then the axis between the two means.
+    """
+    now = Kept(cells.withColumn("node", F.lit("r")), "cells")
+    x = [F.col(f"s{i}") / F.col("n") for i in range(d)]
+    w = F.sum("n")
+
+    def planes(rows: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
+        """(node, axis, bound): a cell is on the right side where its projection exceeds the bound."""
+        return F.broadcast(now.df.sparkSession.createDataFrame([(k, [float(v) for v in axis], float(bound)) for k, (axis, bound) in rows.items()], "node string, axis array<double>, bound double"))
+
+    def sided(rows: dict[str, tuple[np.ndarray, float]]) -> DataFrame:
+        along = sum((F.col("axis")[i] * x[i] for i in range(d)), F.lit(0.0))
+        return now.df.join(planes(rows), "node", "left").withColumn("right", F.when(F.col("axis").isNotNull(), along > F.col("bound"))).drop("axis", "bound")
+
     while True:
-        table = kept[-1].df
-        count, w = F.count("*").alias("cells"), F.sum("n")
-        spread = [F.sum(F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")) / w - F.pow(F.sum(f"s{i}") / w, 2) for i in range(d)]
-        large = table.groupBy("node").agg(count, *[(F.sum(f"s{i}") / w).alias(f"m{i}") for i in range(d)], *[s.alias(f"v{i}") for i, s in enumerate(spread)]).where(F.col("cells") > most)
-        nodes = {r["node"]: r for r in large.collect()}  # fewer than cells / most
-        if not nodes:
-            return table, kept
-        ends = {}
-        for k, r in nodes.items():
-            i = int(np.argmax([r[f"v{j}"] for j in range(d)]))
-            step = np.zeros(d)
-            step[i] = np.sqrt(max(r[f"v{i}"], 1e-12))
-            m = np.array([r[f"m{j}"] for j in range(d)])
-            ends[k] = [m - step, m + step]
-
-        def side(ends: dict) -> Column:
-            right = F.lit(None).cast("boolean")
-            for k, (one, two) in ends.items():
-                gap = sum((F.pow(F.col(f"s{i}") / F.col("n") - float(two[i]), 2) - F.pow(F.col(f"s{i}") / F.col("n") - float(one[i]), 2) for i in range(d)), F.lit(0.0))
-                right = F.when(F.col("node") == k, gap < 0).otherwise(right)
-            return right
-
-        for _ in range(4):
-            means = table.withColumn("right", side(ends)).where("right is not null").groupBy("node", "right").agg(*[(F.sum(f"s{i}") / w).alias(f"m{i}") for i in range(d)]).collect()
-            for r in means:
-                ends[r["node"]][int(r["right"])] = np.array([r[f"m{i}"] for i in range(d)])
-        right = side(ends)
-        after = Kept(table.withColumn("node", F.when(right.isNull(), F.col("node")).otherwise(F.concat("node", F.when(right, "1").otherwise("0")))), "cells")
-        kept.append(after)
+        second = [F.sum(x[i] * x[j] * F.col("n")).alias(f"q{i}_{j}") for i in range(d) for j in range(i + 1)]
+        stats = now.df.groupBy("node").agg(F.count("*").alias("cells"), w.alias("w"), *[(F.sum(f"s{i}") / w).alias(f"m{i}") for i in range(d)], *second).where(F.col("cells") > most).collect()
+        if not stats:
+            return now
+        split = {}
+        for r in stats:
+            m = np.array([r[f"m{i}"] for i in range(d)])
+            q = np.array([[r[f"q{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)])
+            axis = _main_axis(q - r["w"] * np.outer(m, m))
+            split[r["node"]] = (axis, float(axis @ m))
+        for _ in range(ROUNDS):
+            means = sided(split).where("right is not null").groupBy("node", "right").agg(*[(F.sum(f"s{i}") / w).alias(f"m{i}") for i in range(d)]).collect()
+            ends = {(r["node"], r["right"]): np.array([r[f"m{i}"] for i in range(d)]) for r in means}
+            after = dict(split)
+            for k in split:
+                if (k, True) in ends and (k, False) in ends:
+                    one, two = ends[k, False], ends[k, True]
+                    after[k] = (two - one, float((two @ two - one @ one) / 2))
+            if all(np.array_equal(after[k][0], split[k][0]) and after[k][1] == split[k][1] for k in split):
+                break
+            split = after
+        parted = sided(split).withColumn("node", F.when(F.col("right").isNull(), F.col("node")).otherwise(F.concat("node", F.when(F.col("right"), "1").otherwise("0")))).drop("right")
+        after_split = Kept(parted, "cells")
+        now.drop()
+        now = after_split
 
 
 def leaves_of(points: DataFrame, d: int, limits: Limits) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +161,7 @@ def leaves_of(points: DataFrame, d: int, limits: Limits) -> tuple[DataFrame, Dat
     While a node has over `node_cells` cells it is split across the cluster; smaller ones are finished in one task each.
     """
     cells = _cells(points, d, limits.cell)
-    noded, kept = _split_large(cells, d, limits.node_cells)
+    noded = _split_large(cells, d, limits.node_cells)
     keys = [f"c{i}" for i in range(d)]
     boxes = [f"{e}{i}" for e in "ab" for i in range(d)]
 
@@ -153,10 +174,9 @@ def leaves_of(points: DataFrame, d: int, limits: Limits) -> tuple[DataFrame, Dat
         return out
 
     schema = ", ".join([*[f"{k} long" for k in keys], *[f"{b} double" for b in boxes], "leaf string"])
-    order = noded.groupBy("node").applyInPandas(lambda pdf: finish(pdf.sort_values(keys, ignore_index=True)), schema)
+    order = noded.df.groupBy("node").applyInPandas(lambda pdf: finish(pdf.sort_values(keys, ignore_index=True)), schema)
     done = Kept(order, "leaves")
-    for k in kept:
-        k.drop()
+    noded.drop()
     # the cells number far fewer than the points; Spark broadcasts them only while they are small, and else splits hot cells
     placed = _in_cells(points, d, limits.cell).join(done.df.select(*keys, "leaf"), keys).drop(*keys)
     return placed, done.df

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from contigua.plans.shared import Kept
 
 
+#: Rows of the smaller side, in one partition, up to which a join builds a hash table of it instead of sorting both sides.
+HASHED_ROWS = 1_000_000
+
+
 def clean_edges(links: DataFrame, src: str, dst: str) -> DataFrame:
-    """Distinct undirected edges (lo < hi) without missing ends and loops."""
+    """Undirected edges (lo < hi) without missing ends and loops; they may repeat."""
     a, b = F.col(f"`{src}`"), F.col(f"`{dst}`")
-    return (
-        links.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), a.isNull().alias("na"), b.isNull().alias("nb"))
-        .where(~F.col("na") & ~F.col("nb") & (F.col("lo") < F.col("hi")))
-        .select("lo", "hi")
-        .distinct()
-    )
+    return links.where(a.isNotNull() & b.isNotNull()).select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo < hi")
 
 
 def _with_least(edges: DataFrame, least: DataFrame, key: str, total: int, hot_rows: int) -> DataFrame:
     """Edges with `m`, the least lower neighbour of their end `key`, or null if it has none.
 
     A key that holds more than max(hot_rows, total / 1000) edges is joined by broadcast, so that no task
-    gets it whole. There are at most 1 000 of them.
+    gets it whole. There are at most 1 000 of them. `least` has one row a key; while its share of a partition is
+    small, it is hashed.
     """
     least = least.withColumnRenamed("hi", key)
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total <= HASHED_ROWS * parts:
+        least = least.hint("shuffle_hash")
     if total <= hot_rows:
         return edges.join(least, key, "left")
     bound = max(hot_rows, total // 1000)
@@ -38,9 +41,9 @@ def _with_least(edges: DataFrame, least: DataFrame, key: str, total: int, hot_ro
 
 
 def _large_star(edges: DataFrame, total: int, hot_rows: int) -> DataFrame:
-    """Every neighbour above a node is linked to the least of the node's closed neighbourhood."""
+    """Every neighbour above a node is linked to the least of the node's closed neighbourhood. As many edges as before."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    return _with_least(edges, least, "lo", total, hot_rows).select(F.coalesce("m", "lo").alias("lo"), "hi").distinct()
+    return _with_least(edges, least, "lo", total, hot_rows).select(F.coalesce("m", "lo").alias("lo"), "hi")
 
 
 def _small_star(edges: DataFrame, total: int, hot_rows: int) -> DataFrame:
@@ -51,26 +54,27 @@ def _small_star(edges: DataFrame, total: int, hot_rows: int) -> DataFrame:
 
 
 def star_contraction(edges: DataFrame, *, hot_rows: int = 1_000_000) -> Kept:
-    """Edges (lo < hi, distinct) rewritten until each node is linked to its component's least node alone.
+    """Edges (lo < hi) rewritten until each node is linked to its component's least node alone.
 
-    Large-star and small-star rewrites alternate, each an aggregation and a join; after each pair the edges
-    are written to the shared folder, and the rounds end when the written edges are those of the round before.
+    Large-star and small-star rewrites alternate, each an aggregation and a join; after each pair the edges are written to
+    the shared folder, counted and summed up while they are written, and the rounds end when the edges are those of the
+    round before. Neither rewrite makes more edges than there were, so repeated ones are dropped once a round.
     """
 
-    def mark(kept: Kept) -> tuple:
-        """Count and order-free checksum of the edges."""
-        row = kept.df.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first()
-        return row[0], row[1]
+    def kept(df: DataFrame) -> tuple[Kept, tuple]:
+        """The edges as written, with their count and an order-free checksum."""
+        seen = Observation()
+        # the marks of all edges add up far below the bounds of a decimal of 38 digits
+        table = Kept(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")).alias("mark")), "edges")
+        return table, (seen.get["n"], seen.get["mark"])
 
-    now = Kept(edges, "edges")
-    seen = mark(now)
-    while seen[0]:
+    now, seen = kept(edges)
+    before = None
+    while seen[0] and seen != before:
         large = _large_star(now.df, seen[0], hot_rows)
-        after = Kept(_small_star(large, seen[0], hot_rows), "edges")
+        after, mark = kept(_small_star(large, seen[0], hot_rows))
         now.drop()
-        now, before, seen = after, seen, mark(after)
-        if seen == before:
-            break
+        now, before, seen = after, seen, mark
     return now
 
 
