@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +21,9 @@ from contigua.operators import sptree as T
 from contigua.operators import workload as W
 from contigua.operators.fit import fit_chain, fit_flows, fit_graph
 from contigua.plans import fixtures as X
+from contigua.plans import tree_sql as M
 from contigua.sources.tables import table
+from contigua.types import Method
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +43,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def steady(c: str) -> Column:
+    """Five decimals, off the ties that halves of values with few decimals make; the SQL does the same."""
+    return F.round(F.col(c) + 3.3e-7, 5).alias(c)
+
+
 # ---- graphs ----------------------------------------------------------------------------------------------------------
 
 
@@ -63,7 +70,11 @@ def edges_eps(spark, folder):
     return G.within_distance(X.points(spark, folder), 0.01)
 
 
-@query()
+@query("""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+    ab AS (SELECT a.id AS s, b.id AS d, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, a.y - b.y AS nx, b.x - a.x AS ny, ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4 AS r FROM p a JOIN p b ON a.id < b.id),
+    c AS (SELECT s, d, 2 * ((c.x - mx) * nx + (c.y - my) * ny) AS side, (c.x - mx) ** 2 + (c.y - my) ** 2 - r AS room FROM ab JOIN p c ON c.id <> s AND c.id <> d),
+    t AS (SELECT s, d, max(room / side) FILTER (side < 0) AS low, min(room / side) FILTER (side > 0) AS high FROM c GROUP BY s, d)
+    SELECT 0::BIGINT AS run_key, s AS src, d AS dst FROM t WHERE low IS NULL OR high IS NULL OR low <= high""")
 def edges_delaunay(spark, folder):
     return G.delaunay(X.points(spark, folder))
 
@@ -289,7 +300,8 @@ def dirichlet_evidence(spark, folder):
 # ---- chains ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(M.chains("ward", """SELECT c.run_key, c.k::INTEGER AS k, cl, count(*) AS n, round(avg(value), 6) AS mean_value, min(ts) AS first_ts, max(ts) AS last_ts
+    FROM cuts c JOIN leaves l ON l.run_key = c.run_key AND l.i = c.i JOIN events ON event_id = l.id GROUP BY ALL""", M.upto(SEGMENTS)))
 def ward_chain_profile(spark, folder):
     """Piecewise-constant segmentation of each user's events: the flagship."""
     c = X.chains(spark, folder)
@@ -323,16 +335,17 @@ def ward_cluster_means(spark, folder):
     return root.join(means, "run_key").select("run_key", F.round(F.abs(F.col("center") - F.col("mean")), 6).alias("off"))
 
 
-@query("""SELECT user_id AS run_key, least(k, count(*))::BIGINT AS k, least(k, count(*)) AS clusters, count(*) AS n FROM events, (VALUES (3), (5), (8)) t(k) GROUP BY user_id, t.k""")
+LABELS = "SELECT c.run_key, asked::DOUBLE AS cut, c.k::INTEGER AS k, id, cl FROM cuts c JOIN leaves USING (run_key, i)"
+
+
+@query(M.chains("ward", LABELS, M.upto(3, 5, 8)))
 def cut_k(spark, folder):
-    labels = D.cut(fit_chain(X.chains(spark, folder)), k=[3, 5, 8])
-    return labels.groupBy("run_key", "cut", F.col("k").cast("bigint").alias("k")).agg(F.count_distinct("cl").alias("clusters"), F.count("*").alias("n")).drop("cut")
+    return D.cut(fit_chain(X.chains(spark, folder)), k=[3, 5, 8])
 
 
-@query()
+@query(M.chains("ward", LABELS, "SELECT run_key, t.h AS asked, 1 + count(*) FILTER (height > t.h) AS k FROM heights, (VALUES (10.0), (1000.0)) t(h) GROUP BY run_key, t.h"))
 def cut_h(spark, folder):
-    labels = D.cut(fit_chain(X.chains(spark, folder)), h=[10.0, 1000.0])
-    return labels.groupBy("run_key", "cut", "k").agg(F.count_distinct("cl").alias("clusters"))
+    return D.cut(fit_chain(X.chains(spark, folder)), h=[10.0, 1000.0])
 
 
 @query("SELECT user_id AS run_key, 1::BIGINT AS split, 0::BIGINT AS moved FROM events GROUP BY 1")
@@ -346,66 +359,78 @@ def cut_nested(spark, folder):
     return up.join(down, "run_key")
 
 
-@query("SELECT user_id AS run_key, least(count(*), 5)::BIGINT - 1 AS changes FROM events GROUP BY 1")
+@query(M.chains("ward", """SELECT run_key, k::INTEGER AS k, id, ord FROM (SELECT c.run_key, c.k, id, ts AS ord, cl, lag(cl) OVER (PARTITION BY c.run_key ORDER BY c.i) AS before
+    FROM cuts c JOIN leaves USING (run_key, i) JOIN events ON event_id = id) WHERE cl <> before""", M.upto(SEGMENTS)))
 def change_points(spark, folder):
     c = X.chains(spark, folder)
-    found = W.change_points(D.cut(fit_chain(c), k=SEGMENTS), c.select("run_key", "id", "ord"))
-    return found.groupBy("run_key").agg(F.count("*").alias("changes"))
+    return W.change_points(D.cut(fit_chain(c), k=SEGMENTS), c.select("run_key", "id", "ord"))
 
 
-@query("""SELECT user_id AS run_key, true AS ok FROM events GROUP BY 1""")
+@query(M.chains("ward", "SELECT run_key, k::INTEGER AS k, round(level / nn, 5) AS within FROM levels WHERE k = 5"))
 def explained_variance(spark, folder):
-    """The variance that Ward's levels leave within five segments is what their members have."""
+    """The variance within five segments from their members, against what the levels of the tree leave."""
     c = X.chains(spark, folder)
-    t = fit_chain(c)
-    ev = W.explained_variance(D.cut(t, k=SEGMENTS), c, "value")
-    n = t.leaves.groupBy("run_key").agg(F.count("*").alias("n"))
-    return ev.join(t.levels.where(F.col("k") == SEGMENTS), ["run_key", "k"]).join(n, "run_key").select("run_key", (F.abs(F.col("within") * F.col("n") - F.col("level")) < 1e-4).alias("ok"))
+    return W.explained_variance(D.cut(fit_chain(c), k=SEGMENTS), c, "value").select("run_key", "k", F.round("within", 5).alias("within"))
 
 
-@query()
+@query(M.chains("ward", """SELECT run_key, k::INTEGER AS k, round(sum(ss) / sum(n), 6) AS within, round(1 - sum(ss) / any_value(whole), 6) AS share FROM
+    (SELECT c.run_key, c.k, cl, count(*) AS n, var_pop(value) * count(*) AS ss FROM cuts c JOIN leaves USING (run_key, i) JOIN events ON event_id = id GROUP BY 1, 2, 3)
+    JOIN (SELECT user_id AS run_key, var_pop(value) * count(*) AS whole FROM events GROUP BY 1) USING (run_key) GROUP BY run_key, k""", M.upto(2, 5, 10)))
 def explained_variance_by_k(spark, folder):
     c = X.chains(spark, folder)
     return W.explained_variance(D.cut(fit_chain(c), k=[2, 5, 10]), c, "value").select("run_key", "k", F.round("within", 6).alias("within"), F.round("share", 6).alias("share"))
 
 
-@query()
 def nmi(spark, folder):
     p = X.points(spark, folder)
-    t = fit_graph(p.select("run_key", "id", F.col("features").alias("x")), G.delaunay(p))
+    t = fit_graph(p.select("run_key", "id", F.col("features").alias("x")), G.nearest(p, 12))
     return W.mutual_information(D.cut(t, k=[5, 10]), p.select("run_key", "id", F.col("label").alias("truth"))).select("run_key", "k", F.round("nmi", 6).alias("nmi"))
 
 
-@query("""SELECT user_id AS run_key, count(*) AS n, 0::BIGINT AS low, count(*) - 1 AS high, count(*) AS places FROM events GROUP BY 1""")
+PLACED = "placed AS (SELECT run_key, unnest(o) AS i, (unnest(range(len(o))))::INTEGER AS place FROM merges WHERE m = nn - 1 AND m > 0)"
+
+
+@query(M.chains("ward", ", " + PLACED + " SELECT run_key, id, place FROM placed JOIN leaves USING (run_key, i)"))
 def leaf_order(spark, folder):
-    return fit_chain(X.chains(spark, folder)).leaves.groupBy("run_key").agg(F.count("*").alias("n"), F.min("place").cast("bigint").alias("low"), F.max("place").cast("bigint").alias("high"), F.count_distinct("place").alias("places"))
+    return fit_chain(X.chains(spark, folder)).leaves.select("run_key", "id", "place")
 
 
-@query("""SELECT user_id AS run_key, least(count(*), 10)::BIGINT AS branches, count(*) AS members FROM events GROUP BY 1""")
+#: Branches of the ten last: nodes below the last nine merges, numbered by merge, left sides first.
+BRANCHES = """, late AS (SELECT run_key, nn, m, l, r, least(nn, 10) AS keep FROM merges WHERE m > nn - least(nn, 10) AND m > 0),
+    hung AS (SELECT run_key, node, row_number() OVER (PARTITION BY run_key ORDER BY side, m) AS branch FROM (SELECT run_key, m, 0 AS side, l AS node, nn, keep FROM late UNION ALL SELECT run_key, m, 1, r, nn, keep FROM late) WHERE node < nn + nn - keep) """
+
+
+@query(M.chains("ward", BRANCHES + "SELECT c.run_key, branch::INTEGER AS branch, id FROM flat c JOIN leaves USING (run_key, i) JOIN hung h ON h.run_key = c.run_key AND h.node = c.node", M.upto(10)))
 def collapse(spark, folder):
-    _, members = D.collapse(fit_chain(X.chains(spark, folder)), 10)
-    return members.groupBy("run_key").agg(F.count_distinct("branch").alias("branches"), F.count("*").alias("members"))
+    return D.collapse(fit_chain(X.chains(spark, folder)), 10)[1]
 
 
-@query("""SELECT user_id AS run_key, least(count(*), 10)::BIGINT - 1 AS merges, least(count(*), 10)::BIGINT AS leaves FROM events GROUP BY 1""")
+@query(M.chains("ward", BRANCHES + """SELECT t.run_key, (t.m - nn + keep)::INTEGER AS m, coalesce(-a.branch, t.l - 2 * nn + keep + 1)::INTEGER AS a, coalesce(-b.branch, t.r - 2 * nn + keep + 1)::INTEGER AS b, round(height + 3.3e-7, 5) AS height
+    FROM late t LEFT JOIN hung a ON a.run_key = t.run_key AND a.node = t.l LEFT JOIN hung b ON b.run_key = t.run_key AND b.node = t.r JOIN heights h ON h.run_key = t.run_key AND h.m = t.m"""))
 def collapse_merges(spark, folder):
-    merges, _ = D.collapse(fit_chain(X.chains(spark, folder)), 10)
-    return merges.groupBy("run_key").agg(F.count("*").alias("merges"), (F.count_if(F.col("a") < 0) + F.count_if(F.col("b") < 0)).alias("leaves"))
+    return D.collapse(fit_chain(X.chains(spark, folder)), 10)[0].withColumn("height", steady("height"))
 
 
-@query("SELECT user_id AS run_key, count(*) - 1 AS merges, count(*) AS leaves FROM events GROUP BY 1 HAVING count(*) > 1")
+@query(M.chains("ward", "SELECT run_key, m::INTEGER AS m, CASE WHEN l < nn THEN -l - 1 ELSE l - nn + 1 END::INTEGER AS a, CASE WHEN r < nn THEN -r - 1 ELSE r - nn + 1 END::INTEGER AS b, round(height + 3.3e-7, 5) AS height FROM merges JOIN heights USING (run_key, m) WHERE m > 0"))
 def signed_merges(spark, folder):
-    return D.signed_merges(fit_chain(X.chains(spark, folder))).groupBy("run_key").agg(F.count("*").alias("merges"), (F.count_if(F.col("a") < 0) + F.count_if(F.col("b") < 0)).alias("leaves"))
+    return D.signed_merges(fit_chain(X.chains(spark, folder))).select("run_key", "m", "a", "b", steady("height"))
 
 
-@query()
+@query(M.chains("bayes_dgmm", """, steps AS (SELECT l.run_key, l.k, -level AS gain, coalesce(h.slope, 0.0) AS xend FROM levels l JOIN tops USING (run_key) LEFT JOIN hull h ON h.run_key = l.run_key AND h.k = l.k WHERE l.k <= top),
+    firsts AS (SELECT run_key, min(k) AS k, arg_min(gain, k) AS gain, xend FROM steps GROUP BY run_key, xend),
+    spans AS (SELECT *, coalesce(lag(xend) OVER (PARTITION BY run_key ORDER BY k), max(xend) OVER (PARTITION BY run_key) * 1.05) AS x FROM firsts)
+    SELECT run_key, k::INTEGER AS k, round(gain, 5) AS gain, round(x, 5) AS x, round(xend, 5) AS xend, round(coalesce((x - xend) / nullif(first(x) OVER (PARTITION BY run_key ORDER BY k), 0), 1), 5) AS share FROM spans"""))
 def front(spark, folder):
     return D.front(fit_chain(X.chains(spark, folder), "bayes_dgmm")).select("run_key", "k", *[F.round(c, 5).alias(c) for c in ("gain", "x", "xend", "share")])
 
 
-@query("SELECT user_id AS run_key, 3 * (count(*) - 1) AS lines FROM events GROUP BY 1 HAVING count(*) > 1")
+@query(M.chains("ward", ", " + PLACED + """, drawn AS (
+        SELECT run_key, 0::BIGINT AS m, 0::BIGINT AS l, 0::BIGINT AS r, count(*) AS nn, list((place + 1)::DOUBLE ORDER BY i) AS xs, [0.0::DOUBLE] AS ys FROM placed GROUP BY run_key
+        UNION ALL SELECT d.run_key, g.m, g.l, g.r, d.nn, list_append(xs, (xs[g.l + 1] + xs[g.r + 1]) / 2), list_append(ys, h.height) FROM drawn d JOIN merges g ON g.run_key = d.run_key AND g.m = d.m + 1 JOIN heights h ON h.run_key = d.run_key AND h.m = g.m),
+    lines AS (SELECT run_key, m, ys[m + 1] AS t, xs[l + 1] AS xa, xs[r + 1] AS xb, CASE WHEN l < nn THEN 0.0 ELSE ys[l - nn + 2] END AS ya, CASE WHEN r < nn THEN 0.0 ELSE ys[r - nn + 2] END AS yb FROM drawn WHERE m > 0)
+    SELECT run_key, m::INTEGER AS m, x, round(y + 3.3e-7, 5) AS y, xend, round(yend + 3.3e-7, 5) AS yend FROM (SELECT run_key, m, xa AS x, t AS y, xb AS xend, t AS yend FROM lines UNION ALL SELECT run_key, m, xa, ya, xa, t FROM lines UNION ALL SELECT run_key, m, xb, yb, xb, t FROM lines)"""))
 def dendro_segments(spark, folder):
-    return D.segments(fit_chain(X.chains(spark, folder))).groupBy("run_key").agg(F.count("*").alias("lines"))
+    return D.segments(fit_chain(X.chains(spark, folder))).withColumns({c: steady(c) for c in ("y", "yend")})
 
 
 @query("SELECT user_id AS run_key, count(*) AS n, least(count(*), 12)::BIGINT AS branches FROM events GROUP BY 1")
@@ -413,29 +438,47 @@ def plot_branches(spark, folder):
     return D.drawing(fit_chain(X.chains(spark, folder)), 12)[1].groupBy("run_key").agg(F.sum("size").alias("n"), F.count("*").alias("branches"))
 
 
+PROFILE_LEAVES = f"SELECT 0::BIGINT AS run_key, id, row_number() OVER (ORDER BY id) - 1 AS i, [c0, c1, c2, c3, c4, c5] AS x FROM (SELECT l_suppkey AS id, {', '.join(_COUNT)} FROM lineitem GROUP BY 1)"
+
+
+def _profile_tree(method: str, rest: str, ks: str | None = None) -> str:
+    return f"WITH RECURSIVE {M.tree(method, PROFILE_LEAVES)}, {M.HEIGHTS}{', ' + M.cuts(ks) if ks else ''} {rest}"
+
+
 def _chain_method(name: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         # compositions and counts have to be more than one number
         p = X.profiles(spark, folder)
         x = "shares" if name == "bayes_dirichlet" else "counts"
         t = fit_chain(p.select("run_key", "id", "ord", F.col(x).alias("x")), name)
-        return t.merges.select("run_key", "m", "left", "right", F.round("cost", 5).alias("cost"), F.round("height", 5).alias("height"), "size")
+        return t.merges.select("run_key", "m", "left", "right", steady("cost"), steady("height"), "size")
 
     run.__name__ = f"chain_{name}"
-    QUERIES[run.__name__] = run
+    sql = _profile_tree(name, 'SELECT run_key, m::INTEGER AS m, l::INTEGER AS "left", r::INTEGER AS "right", round(cost + 3.3e-7, 5) AS cost, round(height + 3.3e-7, 5) AS height, size FROM merges JOIN heights USING (run_key, m) WHERE m > 0') if name in M.RULES else None
+    query(sql)(run)
 
 
 for _name in ("ward", "centroid", "median", "chisq", "bayes_mom", "bayes_dirichlet"):
     _chain_method(_name)
 
 
-@query()
+@query(M.chains("bayes_dgmm", 'SELECT run_key, m::INTEGER AS m, l::INTEGER AS "left", r::INTEGER AS "right", round(cost + 3.3e-7, 5) AS cost, round(height + 3.3e-7, 5) AS height, size FROM merges JOIN heights USING (run_key, m) WHERE m > 0'))
+def chain_bayes_dgmm(spark, folder):
+    # the prior of each user's run comes from its own events
+    t = fit_chain(X.chains(spark, folder), "bayes_dgmm")
+    return t.merges.select("run_key", "m", "left", "right", steady("cost"), steady("height"), "size")
+
+
+SIZES = "SELECT run_key, k::INTEGER AS k, cl, count(*) AS n FROM cuts GROUP BY ALL"
+
+
+@query(M.chains("bayes_dgmm", SIZES, M.BEST))
 def bayes_dgmm_segments(spark, folder):
     c = X.chains(spark, folder)
     return D.cut_best(fit_chain(c, "bayes_dgmm")).groupBy("run_key", "k", "cl").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_profile_tree("bayes_mom", SIZES, M.BEST))
 def bayes_mom_segments(spark, folder):
     p = X.profiles(spark, folder)
     return D.cut_best(fit_chain(p.select("run_key", "id", "ord", F.col("counts").alias("x")), "bayes_mom")).groupBy("run_key", "k", "cl").agg(F.count("*").alias("n"))
@@ -497,6 +540,15 @@ def ward_grid_total(spark, folder):
     return t.levels.where("k = 1").crossJoin(F.broadcast(whole)).select("run_key", F.round(F.abs(F.col("level") / F.col("ss") - 1), 6).alias("off"))
 
 
+_MODES = ", ".join(f"CASE WHEN isnan({c}) THEN 0 ELSE coalesce({c}, 0) END::DOUBLE" for c in X.MODES)
+ZONE_LEAVES = f"SELECT 0::BIGINT AS run_key, row_number() OVER (ORDER BY CODE_IRIS) AS id, row_number() OVER (ORDER BY CODE_IRIS) - 1 AS i, [{_MODES}] AS x FROM zones"
+ZONE_EDGES = {"rook": "SELECT DISTINCT 0::BIGINT AS run_key, a.id - 1 AS u, b.id - 1 AS v FROM s a JOIN s b ON a.lo = b.lo AND a.hi = b.hi AND a.id < b.id", "queen": "SELECT DISTINCT 0::BIGINT AS run_key, a.id - 1 AS u, b.id - 1 AS v FROM s a JOIN s b ON a.p = b.p AND a.id < b.id"}
+
+
+def _zone_tree(method: str, adjacency: str, rest: str, k: int = 9) -> str:
+    return f"{ZONE_SEGMENTS.replace('WITH', 'WITH RECURSIVE', 1)}, {M.tree(method, ZONE_LEAVES, ZONE_EDGES[adjacency])}, {M.cuts(M.upto(k))} {rest}"
+
+
 def _zone_method(name: str, adjacency: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         z = X.zones(spark, folder)
@@ -504,7 +556,8 @@ def _zone_method(name: str, adjacency: str) -> None:
         return D.cut(t, k=9).groupBy("cl").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
     run.__name__ = f"zones_{name}_{adjacency}"
-    QUERIES[run.__name__] = run
+    # orders that depend on numbers of spanning trees have no SQL
+    query(None if name.startswith("bayes") else _zone_tree(name, adjacency, "SELECT cl, count(*) AS n, min(i) + 1 AS first_id FROM cuts GROUP BY cl"))(run)
 
 
 for _name, _how in (("ward", "rook"), ("ward", "queen"), ("chisq", "queen"), ("bayes_mom", "rook"), ("bayes_dgmm", "queen")):
@@ -533,16 +586,46 @@ def dissolve_polygons(spark, folder):
     return got.crossJoin(F.broadcast(whole)).select(F.round(F.abs(F.col("got") / F.col("whole") - 1), 6).alias("off"), "n")
 
 
-@query()
+def _zone_approx(name: str, adjacency: str) -> None:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        z = X.zones(spark, folder)
+        t = fit_graph(_zone_counts(z), S.polygon_neighbours(z, adjacency), Method(name, approx=True))
+        return t.merges.select("run_key", "m", "left", "right", F.round("cost", 4).alias("cost"), "size")
+
+    run.__name__ = f"zones_{name}_{adjacency}_approx"
+    query(_zone_tree(name, adjacency, 'SELECT run_key, m::INTEGER AS m, l::INTEGER AS "left", r::INTEGER AS "right", round(cost, 4) AS cost, size FROM merges WHERE m > 0'))(run)
+
+
+for _name, _how in (("bayes_mom", "rook"), ("bayes_dgmm", "queen")):
+    _zone_approx(_name, _how)
+
+
+_AREA = "abs(list_sum(list_transform(range(1, len(g)), lambda j: g[j].x * g[j + 1].y - g[j + 1].x * g[j].y))) / 2"
+
+
+@query(_zone_tree("ward", "rook", f"""SELECT cl, count(*) AS n, {", ".join(f"round(avg(x[{i + 1}]), 5) AS {c}" for i, c in enumerate(X.MODES))}, round(sum({_AREA}) / 1e6, 4) AS area
+    FROM cuts c JOIN leaves USING (run_key, i) JOIN z ON z.id = leaves.id GROUP BY cl"""))
 def geocut_zones(spark, folder):
-    """Clusters with size, prototype and geometry."""
+    """Clusters with size, prototype and the area of their geometry."""
     z = X.zones(spark, folder)
     t = fit_graph(_zone_counts(z), S.polygon_neighbours(z, "rook"))
     labels = D.cut(t, k=9)
-    return S.dissolve_polygons(z, labels).join(D.profiles(t, labels).select("run_key", "cl", "mean"), ["run_key", "cl"]).select("cl", "n", F.transform("mean", lambda v: F.round(v, 6)).alias("mean"), "geometry")
+    both = S.dissolve_polygons(z, labels).join(D.profiles(t, labels).select("run_key", "cl", "mean"), ["run_key", "cl"])
+    area = F.abs(F.aggregate("geometry", F.lit(0.0), lambda acc, r: acc + S.ring_area(r)))
+    return both.select("cl", "n", *[F.round(F.col("mean")[i], 5).alias(c) for i, c in enumerate(X.MODES)], F.round(area / 1e6, 4).alias("area"))
 
 
-@query()
+POINT_LEAVES = "SELECT 0::BIGINT AS run_key, vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i, list_transform(embedding[3:64], lambda v: v::DOUBLE) AS x, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings"
+KNN_EDGES = """SELECT DISTINCT 0::BIGINT AS run_key, least(s, d) AS u, greatest(s, d) AS v FROM (SELECT a.i AS s, b.i AS d, row_number() OVER (PARTITION BY a.i ORDER BY (a.px - b.px) ** 2 + (a.py - b.py) ** 2, b.id) AS r FROM leaves a JOIN leaves b ON a.i <> b.i) WHERE r <= 11"""
+
+
+query(f"""WITH RECURSIVE {M.tree('ward', POINT_LEAVES, KNN_EDGES)}, {M.cuts(M.upto(5, 10))},
+    c AS (SELECT k, cl, label, count(*)::DOUBLE AS n FROM cuts JOIN leaves USING (run_key, i) JOIN embeddings ON vec_id = id GROUP BY ALL),
+    t AS (SELECT *, sum(n) OVER (PARTITION BY k) AS whole, sum(n) OVER (PARTITION BY k, cl) AS a, sum(n) OVER (PARTITION BY k, label) AS b FROM c)
+    SELECT 0::BIGINT AS run_key, k::INTEGER AS k, round(sum(n / whole * ln(n * whole / (a * b))) / greatest(-sum(n / whole * ln(a / whole)), -sum(n / whole * ln(b / whole))), 6) AS nmi FROM t GROUP BY k""")(nmi)
+
+
+@query(f"WITH RECURSIVE {M.tree('ward', POINT_LEAVES, KNN_EDGES)}, {M.cuts(M.upto(9))} SELECT cl, count(*) AS n, count(*)::INTEGER AS points FROM cuts GROUP BY cl")
 def geocut_points(spark, folder):
     p = X.points(spark, folder)
     t = fit_graph(p.select("run_key", "id", F.col("features").alias("x")), G.nearest(p, 12))
@@ -624,7 +707,8 @@ def neighbour_fill(spark, folder):
     return W.fill_from_neighbours(z.select("run_key", "id", "velo"), S.polygon_neighbours(z, "rook"), "velo").select("id", F.round("velo", 6).alias("velo"))
 
 
-@query()
+@query(M.chains("ward", """SELECT run_key, cl, from_cl, w AS overlap FROM (SELECT a.run_key, a.cl, b.cl AS from_cl, count(*)::DOUBLE AS w FROM cuts a JOIN cuts b USING (run_key, i) WHERE a.asked = 8 AND b.asked = 5 GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY run_key, cl ORDER BY w DESC, from_cl) = 1""", M.upto(5, 8)))
 def tracked_clusters(spark, folder):
     """Five segments of each chain by value, tracked to its eight segments."""
     c = X.chains(spark, folder)
