@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contigua.plans.shared import Kept
@@ -53,29 +53,47 @@ def _small_star(edges: DataFrame, total: int, hot_rows: int) -> DataFrame:
     return below.unionByName(least.select(F.col("m").alias("lo"), "hi")).distinct()
 
 
-def star_contraction(edges: DataFrame, *, hot_rows: int = 1_000_000) -> Kept:
-    """Edges (lo < hi) rewritten until each node is linked to its component's least node alone.
+def _leaves_marked(edges: DataFrame) -> DataFrame:
+    """Distinct edges with `leaf`: whether their upper end has no other edge."""
+    ends = edges.select(F.col("lo").alias("hi")).unionByName(edges.select("hi"))
+    single = ends.groupBy("hi").agg(F.count("*").alias("degree")).where("degree = 1")
+    return edges.join(single, "hi", "left").select("lo", "hi", F.col("degree").isNotNull().alias("leaf"))
 
-    Large-star and small-star rewrites alternate, each an aggregation and a join; after each pair the edges are written to
-    the shared folder, counted and summed up while they are written, and the rounds end when the edges are those of the
-    round before. Neither rewrite makes more edges than there were, so repeated ones are dropped once a round.
-    """
 
-    def kept(df: DataFrame) -> tuple[Kept, tuple]:
-        """The edges as written, with their count and an order-free checksum."""
-        seen = Observation()
-        # the marks of all edges add up far below the bounds of a decimal of 38 digits
-        table = Kept(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)")).alias("mark")), "edges")
-        return table, (seen.get["n"], seen.get["mark"])
+def star_contraction(edges: DataFrame, *, hot_rows: int = 1_000_000) -> DataFrame:
+    """(hi, lo) of edges (lo < hi): each node that isn't the least of its component, with the least.
+
+    Large-star and small-star rewrites alternate, each an aggregation and a join, until no edge is left that they could
+    change. After each pair the edges are written to the shared folder. A node that hangs on a lower one by its only edge
+    gets what that one gets in the end, so such edges are set aside, and the rounds go on with the others: a component
+    that has become a star costs nothing more. At last the nodes set aside take the group of the one they hung on, those
+    of the last round first.
 
-    now, seen = kept(edges)
-    before = None
-    while seen[0] and seen != before:
-        large = _large_star(now.df, seen[0], hot_rows)
-        after, mark = kept(_small_star(large, seen[0], hot_rows))
-        now.drop()
-        now, before, seen = after, seen, mark
-    return now
+    Neither rewrite makes more edges than there were, so repeated ones are dropped once a round.
+    """
+    aside: list[Kept] = []
+    sizes: list[int] = []
+    now = edges.distinct()
+    while True:
+        kept = Kept(_leaves_marked(now), "edges")
+        every, leaves = kept.df.agg(F.count("*"), F.count_if("leaf")).first()
+        aside.append(kept)
+        sizes.append(leaves)
+        if every == leaves:
+            break
+        active = kept.df.where("not leaf").select("lo", "hi")
+        now = _small_star(_large_star(active, every - leaves, hot_rows), every - leaves, hot_rows)
+
+    found, steps = None, []
+    for kept, size in zip(reversed(aside), reversed(sizes), strict=True):
+        hung = kept.df.where("leaf").select("lo", "hi")
+        if found is not None:
+            hung = _with_least(hung, found.withColumnRenamed("lo", "m"), "lo", size, hot_rows).select(F.coalesce("m", "lo").alias("lo"), "hi")
+        steps.append(Kept(hung, "groups"))
+        found = steps[-1].df if found is None else found.unionByName(steps[-1].df)
+    for kept in aside:
+        kept.drop()
+    return found
 
 
 def group_ids(nodes: DataFrame, links: DataFrame, *, node_id: str = "id", src: str = "from", dst: str = "to", hot_rows: int = 1_000_000) -> DataFrame:
@@ -90,5 +108,5 @@ def group_ids(nodes: DataFrame, links: DataFrame, *, node_id: str = "id", src: s
     edges = clean_edges(links, src, dst)
     edges = edges.join(ids, edges.lo == ids.id, "left_semi")
     edges = edges.join(ids, edges.hi == ids.id, "left_semi")
-    stars = star_contraction(edges, hot_rows=hot_rows).df.select(F.col("hi").alias("id"), F.col("lo").alias("root"))
+    stars = star_contraction(edges, hot_rows=hot_rows).select(F.col("hi").alias("id"), F.col("lo").alias("root"))
     return ids.join(stars, "id", "left").select("id", F.coalesce("root", "id").alias("group_id"))
