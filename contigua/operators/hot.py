@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contigua.plans.shared import Kept
+
 DAY_US = 86_400_000_000
 #: Most sources that are ever treated as hot; their list is collected and broadcast.
 MOST = 500_000
 
 
 def hot_sources(rows: DataFrame, key: str, least: int) -> DataFrame:
-    """(key, n) of the at most MOST sources with the most rows among those with over `least` rows, broadcast.
+    """(key, n) of the at most MOST sources with the most rows among those with over `least` rows, counted once and broadcast.
 
     The bound holds at every size: beyond it a source has less than a 500 000th of all rows.
     """
-    return F.broadcast(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).orderBy(F.desc("n"), key).limit(MOST))
+    return F.broadcast(Kept(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).orderBy(F.desc("n"), key).limit(MOST), "hot-sources").df)
 
 
 def wall_micros(ts: Column) -> Column:

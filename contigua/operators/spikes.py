@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contigua.operators.hot import DAY_US, day_piece, hot_sources, wall_micros
+from contigua.operators.hot import DAY_US, hot_sources, wall_micros
+from contigua.plans.shared import Kept
 
 #: Readings on each side of a block that are repeated, so that runs over its edges are seen whole.
 HALO = 16
@@ -53,7 +54,11 @@ def robust_components(m: np.ndarray, seen: np.ndarray, scatter: np.ndarray, roun
         low = (u * gain[:, None, :]) @ (u.transpose(0, 2, 1) @ full)
         rest = m - low
         sparse = np.where(seen, np.sign(rest) * np.maximum(np.abs(rest) - gamma, 0), 0)
-    return low, sparse
+    # what the shrinking of singular values took from the level is given back
+    full = np.where(seen, m - sparse, low)
+    w, u = np.linalg.eigh(full @ full.transpose(0, 2, 1))
+    kept = u * (np.sqrt(np.maximum(w, 0)) > tau)[:, None, :]
+    return kept @ (u.transpose(0, 2, 1) @ full), sparse
 
 
 def _running_median(a: np.ndarray, half: int) -> np.ndarray:
@@ -93,6 +98,20 @@ def _scatter(x: np.ndarray, src: np.ndarray, day: np.ndarray, skip: np.ndarray,
     return sd / np.sqrt(1.5)
 
 
+def _about_course(rest: np.ndarray, src: np.ndarray, ok: np.ndarray, n: int, first: np.ndarray) -> np.ndarray:
+    """Standard deviation by source of what components leave of regular readings; `first` where too few are regular.
+
+    Readings farther than 3.5 deviations are none, in rounds that start from the `first` scatter.
+    """
+    sd = first
+    for _ in range(4):
+        use = ok & (np.abs(rest) <= 3.5 * sd[src])
+        k = np.bincount(src[use], minlength=n)
+        q = np.bincount(src[use], rest[use] ** 2, minlength=n)
+        sd = np.where(k > 8, np.maximum(np.sqrt(q / np.maximum(k, 1)), 1e-3), first)
+    return sd
+
+
 def _course(src: np.ndarray, day: np.ndarray, slot: np.ndarray, x: np.ndarray, scatter: np.ndarray, n: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """For each reading its normal value and its sparse part, from profile matrices of each source.
 
@@ -140,14 +159,36 @@ def _course(src: np.ndarray, day: np.ndarray, slot: np.ndarray, x: np.ndarray, s
     return normal, sparse
 
 
-def _judge(key: np.ndarray, part: np.ndarray, core: np.ndarray, us: np.ndarray, obs: np.ndarray, x: np.ndarray, rules: SpikeRules) -> dict[str, np.ndarray]:
-    """Kinds of the readings of whole blocks, ordered by (key, part, us, obs)."""
+def _whole_days(cells: pa.Table, rules: SpikeRules) -> pa.Table:
+    """(key, date, slot, normal, scatter) of one source whose readings are summed up in cells (key, date, slot, low, mid, high, n).
+
+    The matrix of the cells' medians has a row for each day. The scatter is what tenths of the readings in a cell are apart,
+    averaged over the middle of the cells.
+    """
+    date, slot, low, mid, high, n = (cells[c].to_numpy() for c in ("date", "slot", "low", "mid", "high", "n"))
+    days, i = np.unique(date, return_inverse=True)
+    slots, j = np.unique(slot, return_inverse=True)
+    wide = np.sort((high - low)[n >= max(10, np.median(n) / 2)] / 2.5631)
+    cut = len(wide) // 10
+    scatter = max(1e-3, float(wide[cut : len(wide) - cut].mean())) if len(wide) else 1e-3
+    m, seen = np.full((1, len(days), len(slots)), float(np.median(mid))), np.zeros((1, len(days), len(slots)), bool)
+    m[0, i, j], seen[0, i, j] = mid, True
+    part, _ = robust_components(m, seen, np.array([max(1e-3, 1.2533 * scatter / np.sqrt(np.median(n)))]), rules.rounds)
+    normal = _running_median(part, 1)[0, i, j]
+    return pa.table({"key": cells["key"], "date": date, "slot": slot, "normal": normal, "scatter": np.full(len(mid), scatter)})
+
+
+def _judge(key: np.ndarray, part: np.ndarray, core: np.ndarray, us: np.ndarray, obs: np.ndarray, x: np.ndarray, known: np.ndarray, scatter: np.ndarray, rules: SpikeRules) -> dict[str, np.ndarray]:
+    """Kinds of the readings of whole blocks, ordered by (key, part, us, obs).
+
+    known, scatter: a reading's normal value and its source's scatter where they come from whole days of a hot source, else NaN.
+    """
     new = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
     src = np.cumsum(new) - 1
     n = int(src[-1]) + 1
     day = us // DAY_US
     again = np.r_[False, (obs[1:] == obs[:-1]) & ~new[1:]]
-    src, day, us, obs, x, core = (a[~again] for a in (src, day, us, obs, x, core))
+    src, day, us, obs, x, core, known, scatter = (a[~again] for a in (src, day, us, obs, x, core, known, scatter))
 
     impossible = (x < rules.low) | (x > rules.high)
     begin = np.r_[True, (src[1:] != src[:-1]) | (day[1:] != day[:-1])]
@@ -160,8 +201,17 @@ def _judge(key: np.ndarray, part: np.ndarray, core: np.ndarray, us: np.ndarray,
         s, d, v = src[real], day[real], x[real]
         sd = _scatter(v, s, d, stuck[real], n)
         sd = np.where(np.isfinite(sd), sd, 1e-3)
-        slot = (us[real] % DAY_US) // (rules.slot_minutes * 60_000_000)
-        normal, sparse = _course(s, d, slot, v, sd, n, rules.rounds)
+        normal, sparse, given = known[real], np.zeros(len(v)), np.isfinite(known[real])
+        hot = np.zeros(n, bool)
+        hot[s[given]] = True
+        own = ~hot[s]
+        if own.any():
+            slot = (us[real] % DAY_US) // (rules.slot_minutes * 60_000_000)
+            normal[own], sparse[own] = _course(s[own], d[own], slot[own], v[own], sd, n, rules.rounds)
+            fit = _about_course(v - np.where(own, normal, v), s, own & (sparse == 0) & ~stuck[real], n, sd)
+            sd = np.where(hot, sd, np.maximum(sd, fit))
+        sd[s[given]] = scatter[real][given]
+        normal = np.where(np.isfinite(normal), normal, v)
         need = np.maximum(rules.least_jump, rules.scatters * sd[s])
         # what the components set apart: a sparse part, or a low-rank part that is itself no slow course
         apart = (sparse != 0) | (np.abs(v - normal) > 3 * sd[s])
@@ -185,7 +235,7 @@ def _judge(key: np.ndarray, part: np.ndarray, core: np.ndarray, us: np.ndarray,
 
 def _judge_all(batches: Iterator[pa.RecordBatch], rules: SpikeRules, rows: int = 200_000) -> Iterator[pa.RecordBatch]:
     """Blocks lie together in each partition; as many whole ones as reach `rows` rows are judged at once."""
-    names, held, count = ("key", "part", "core", "us", "obs", "x"), [], 0
+    names, held, count = ("key", "part", "core", "us", "obs", "x", "normal", "scatter"), [], 0
 
     def judged(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if parts and sum(len(p[0]) for p in parts):
@@ -214,13 +264,16 @@ def implausible(readings: DataFrame, *, obs: str = "obs_id", source: str = "link
     """(obs_id, kind, deviation, scatter) of the impossible, stuck and spiking readings of each source.
 
     Each source's readings form daily profile matrices (days by slots); robust principal components part them into
-    low-rank normal behaviour, sparse spikes and noise. Readings set apart so are then tested exactly: a spike is one
-    to `spike_run` successive readings on one date on the same side of the reading before and the one after, by at
-    least `least_jump` and `scatters` times the source's scatter. Constant runs and the range are tested apart from it.
+    low-rank normal behaviour, sparse spikes and noise. The source's scatter is the standard deviation of what they leave
+    of the regular readings, or of readings about their neighbours' mean where that is larger: the first also holds slow
+    wandering, the second doesn't take a course that the components miss for scatter. Readings set apart are then tested exactly: a spike is one to `spike_run` successive readings
+    on one date on the same side of the reading before and the one after, by at least `least_jump` and `scatters` times the
+    scatter. Constant runs and the range are tested apart from it.
 
-    One shuffle brings each source's readings together, sorted by time. A source with more than `block_rows` readings
-    is first numbered in parts of the day, and then cut into blocks of successive readings which overlap by HALO, so
-    that no task gets it whole and the result stays exact.
+    One shuffle brings each source's readings together, sorted by time. The readings of a source with more than
+    `block_rows` of them are kept in the shared folder; its matrix holds the medians of cells of whole days. They are
+    numbered in pieces of slots, and then cut into blocks of successive readings which overlap by HALO, so that no task
+    gets the source whole and the result stays exact.
 
     Defined cases: readings without source, time or id are in no result, nor are those without a value (null, NaN or
     0), which are also passed over between neighbours; impossible ones are passed over for spikes. Copies of one id
@@ -233,19 +286,32 @@ def implausible(readings: DataFrame, *, obs: str = "obs_id", source: str = "link
 
     hot = hot_sources(rows, "key", rules.block_rows)
     marked = rows.join(hot, "key", "left")
-    plain = marked.where("n is null").select("key", F.lit(0).alias("part"), F.lit(True).alias("core"), "us", "obs", "x")
-
-    # numbers of the possible readings, and blocks of them with an overlap, for hot sources only
-    pieces = F.ceil(F.col("n") / rules.block_rows)
-    crowded = marked.where("n is not null").dropDuplicates(["key", "us", "obs"]).withColumns({"piece": day_piece(F.col("us"), pieces), "date": F.floor(F.col("us") / DAY_US)})
-    possible = ((F.col("x") >= rules.low) & (F.col("x") <= rules.high)).cast("int")
+    none = F.lit(float("nan"))
+    plain = marked.where("n is null").select("key", F.lit(0).alias("part"), F.lit(True).alias("core"), "us", "obs", "x", none.alias("normal"), none.alias("scatter"))
+
+    # hot sources, each reading once, in pieces of slots
+    slot_us = rules.slot_minutes * 60_000_000
+    finer = F.ceil(F.col("n") / (rules.block_rows * (DAY_US // slot_us)))
+    times = {"date": F.floor(F.col("us") / DAY_US), "slot": F.floor(F.pmod("us", F.lit(DAY_US)) / slot_us), "piece": F.floor(F.pmod("us", F.lit(DAY_US)) * finer / slot_us)}
+    crowded = Kept(marked.where("n is not null").dropDuplicates(["key", "us", "obs"]).withColumns(times).drop("n"), "hot").df
+    is_possible = (F.col("x") >= rules.low) & (F.col("x") <= rules.high)
+    tenths = F.percentile_approx(F.when(is_possible, F.col("x")), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)), F.lit(1000))
+    cells = Kept(crowded.groupBy("key", "date", "slot", "piece").agg(tenths.alias("q"), F.count_if(is_possible).alias("had")), "cells").df
+
+    # their normal course over whole days, and their scatter; a piece of a slot counts as the slot
+    q = lambda k: (F.sum(F.col("q")[k] * F.col("had")) / F.sum("had"))
+    summed = cells.where("had > 0").groupBy("key", "date", "slot").agg(q(0).alias("low"), q(1).alias("mid"), q(2).alias("high"), F.sum("had").alias("n"))
+    normal = summed.groupBy("key").applyInArrow(lambda t: _whole_days(t, rules), f"key {dict(rows.dtypes)['key']}, date long, slot long, normal double, scatter double")
+
+    # numbers of their possible readings, and blocks of them with an overlap
+    possible = is_possible.cast("int")
     within = Window.partitionBy("key", "date", "piece").orderBy("us", "obs")
     numbered = crowded.withColumn("at", F.sum(possible).over(within.rowsBetween(Window.unboundedPreceding, 0)) - possible)
-    counts = crowded.groupBy("key", "date", "piece").agg(F.sum(possible).alias("had"))
-    before = counts.withColumn("before", F.sum("had").over(Window.partitionBy("key").orderBy("date", "piece")) - F.col("had")).drop("had")
-    at = numbered.join(before, ["key", "date", "piece"]).withColumn("at", F.col("at") + F.col("before"))
+    before = cells.select("key", "date", "slot", "piece", (F.sum("had").over(Window.partitionBy("key").orderBy("date", "piece")) - F.col("had")).alias("before"))
+    at = numbered.join(before.join(normal, ["key", "date", "slot"], "left"), ["key", "date", "slot", "piece"]).withColumn("at", F.col("at") + F.col("before"))
     size = rules.block_rows
-    blocks = at.withColumn("part", F.explode(F.sequence(F.floor((F.greatest(F.col("at") - HALO, F.lit(0))) / size), F.floor((F.col("at") + HALO) / size)))).select("key", (F.col("part") + 1).cast("int").alias("part"), (F.floor(F.col("at") / size) == F.col("part")).alias("core"), "us", "obs", "x")
+    parts = F.sequence(F.floor((F.greatest(F.col("at") - HALO, F.lit(0))) / size), F.floor((F.col("at") + HALO) / size))
+    blocks = at.withColumn("part", F.explode(parts)).select("key", (F.col("part") + 1).cast("int").alias("part"), (F.floor(F.col("at") / size) == F.col("part")).alias("core"), "us", "obs", "x", F.coalesce("normal", none).alias("normal"), F.coalesce("scatter", none).alias("scatter"))
 
     together = plain.unionByName(blocks).repartition("key", "part").sortWithinPartitions("key", "part", "us", "obs")
     return together.mapInArrow(lambda it: _judge_all(it, rules), "obs_id long, kind string, deviation double, scatter double")

@@ -158,6 +158,30 @@ def test_hot_source_is_cut_without_loss(spark):
         assert cut == whole and len(whole) > 100
 
 
+def test_components_decide(spark):
+    """What the neighbours' rule alone takes for spikes stays where the components see normal behaviour, and hot sources are fitted over whole days."""
+    rng = np.random.default_rng(11)
+    rows, obs = [], 0
+    walk = 0.0
+    for day in range(4):
+        for slot in range(280):
+            # readings that wander about their course: their neighbours are near, the course is far
+            walk = 0.75 * walk + rng.normal() * 0.9
+            rows.append((obs := obs + 1, 1, T0 + dt.timedelta(days=day, minutes=5 * slot), round(float(20 + walk), 3)))
+    plain = np.array([r[3] for r in rows])
+    middle = plain[1:-1] - (plain[:-2] + plain[2:]) / 2
+    near = float(np.median(np.abs(middle)) * 1.4826 / math.sqrt(1.5))
+    at, jump = 400, 1.2 * 8 * near
+    assert jump > 4 and 8 * plain.std() > 2 * jump * 0.8
+    rows[at] = (*rows[at][:3], max(rows[at - 1][3], rows[at + 1][3]) + jump)
+    assert implausible(frame(spark, rows)).count() == 0
+    # the same jump in readings that keep to their course
+    still = [(o, 2, t, round(float(20 + rng.normal() * near / 2), 3)) for o, _, t, _ in rows]
+    still[at] = (*still[at][:3], max(still[at - 1][3], still[at + 1][3]) + jump)
+    for block in (20_000, 500):
+        assert [r["obs_id"] for r in implausible(frame(spark, still), rules=SpikeRules(block_rows=block)).collect()] == [still[at][0]]
+
+
 def test_implausible_of_nothing(spark):
     assert implausible(frame(spark, [])).count() == 0
     assert implausible(frame(spark, [(1, 1, T0, 60.0), (2, 1, T0, 5.0), (3, 2, T0, NAN)])).select("obs_id", "kind").collect() == [(1, "impossible")]
