@@ -44,21 +44,21 @@ def cut(tree: Dendrogram, k: int | list[int] | None = None, h: float | list[floa
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in each_run(batches):
-            ids, pairs, height = _arrays(t)
+            ids, pairs, height = arrays_of(t)
             n = len(ids)
             for v in asked:
                 kk = min(int(v), n) if by_k else n - int(np.argmax(np.append(height, np.inf) > v))
                 yield pa.record_batch({"run_key": np.full(n, key), "cut": np.full(n, v), "k": np.full(n, kk, np.int32), "id": ids, "cl": cut_labels(n, pairs, kk).astype(np.int32)})
 
-    return _in_order(tree).mapInArrow(label, "run_key bigint, cut double, k int, id bigint, cl int")
+    return in_order(tree).mapInArrow(label, "run_key bigint, cut double, k int, id bigint, cl int")
 
 
-def _in_order(tree: Dendrogram) -> DataFrame:
+def in_order(tree: Dendrogram) -> DataFrame:
     """Runs one after another, leaves before merges."""
     return _packed(tree).sortWithinPartitions("run_key", F.col("a").isNotNull(), "i")
 
 
-def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def arrays_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = t["a"].null_count
     merges = t.slice(n)
     return t["id"].slice(0, n).to_numpy().astype(int), np.stack([merges[c].to_numpy() for c in "ab"], axis=1).astype(int).reshape(-1, 2), merges["height"].to_numpy()
@@ -189,13 +189,13 @@ def drawing(tree: Dendrogram, most: int = 500) -> tuple[DataFrame, DataFrame]:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, t in each_run(batches):
-            ids, pairs, _ = _arrays(t)
+            ids, pairs, _ = arrays_of(t)
             at = np.empty(len(ids), int)
             at[leaf_order(len(ids), pairs)] = np.arange(len(ids))
             yield pa.record_batch({"run_key": np.full(len(ids), key), "branch": (np.arange(len(ids)) + 1).astype(np.int32), "place": at})
 
     bare = Dendrogram(sizes.select("run_key", (F.col("branch") - 1).alias("leaf"), F.col("branch").cast("bigint").alias("id")), top, tree.levels, tree.method)
-    placed = _in_order(bare).mapInArrow(place, "run_key bigint, branch int, place bigint")
+    placed = in_order(bare).mapInArrow(place, "run_key bigint, branch int, place bigint")
     shown = Dendrogram(placed.select("run_key", (F.col("branch") - 1).alias("leaf"), F.col("branch").cast("bigint").alias("id"), "place"), top, tree.levels, tree.method)
     return segments(shown), sizes.join(placed, ["run_key", "branch"]).select("run_key", "branch", (F.col("place") + 1).alias("x"), "size")
 

@@ -64,11 +64,13 @@ def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: boo
     heap = [(c, s, u, v, c) for s, (c, (u, v)) in enumerate(zip(first.tolist(), edges.tolist(), strict=True))]
     heapq.heapify(heap)
     seq = len(heap)
-    near: list[dict[int, list | int]] = [{} for _ in range(2 * n - 1)]
+    # near[g][h]: the cut's ends in g and in h, kept once for both directions
+    near: list[dict[int, tuple[list[int], list[int]]]] = [{} for _ in range(2 * n - 1)]
     for u, v in edges.tolist():
-        near[u][v] = [(u, v)] if bayesian else 1
-        near[v][u] = [(v, u)] if bayesian else 1
-    trees = TreeCounts(n, forest=len(edges) < n) if bayesian else None
+        one, two = [u], [v]
+        near[u][v] = one, two
+        near[v][u] = two, one
+    trees = TreeCounts(n, len(edges) < n, edges) if bayesian else None
     alive = np.ones(2 * n - 1, bool)
     pairs, cost = np.zeros((max(n - 1, 0), 2), int), np.zeros(max(n - 1, 0))
     level, intra = np.full(n, state.start), np.zeros(n)
@@ -87,36 +89,39 @@ def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: boo
         if bayesian:
             if state.moving:
                 loss = float(state.cost(g, np.array([h]))[0])
-            cut = near[g][h]
-            gain = trees.gain(g, h, cut)
+            mine, theirs = near[g][h]
+            gain = float(trees.gains(g, [(h, mine, theirs)])[0])
             level[m + 1] = level[m] - loss
             intra[m + 1] = intra[m] + gain
-            trees.merge(w, g, h, cut, gain)
+            trees.merge(w, g, h, mine, theirs, gain)
             if level[m + 1] + prior_k[m + 1] > best:
                 best, best_at = level[m + 1] + prior_k[m + 1], m
         else:
             level[m + 1] = level[m] + price
         state.merge(w, g, h, loss)
         alive[g] = alive[h] = False
-        around = near[w]
-        for old in (g, h):
-            for j, cut in near[old].items():
-                if j in (g, h):
-                    continue
-                around[j] = around[j] + cut if j in around else cut
-        for j in around:
-            near[j].pop(g, None)
-            near[j].pop(h, None)
-            near[j][w] = [(b, a) for a, b in around[j]] if bayesian else 1
+        few, around = sorted((near[g], near[h]), key=len)  # what the larger one has is taken over as it is
+        near[w] = around
+        around.pop(g, None)
+        around.pop(h, None)
+        for j, (mine, theirs) in few.items():
+            if j in (g, h):
+                continue
+            held = around.get(j)
+            around[j] = (held[0] + mine, held[1] + theirs) if held and bayesian else held or (mine, theirs)
+        for j, (mine, theirs) in around.items():
+            other = near[j]
+            other.pop(g, None)
+            other.pop(h, None)
+            other[w] = theirs, mine
         near[g], near[h] = {}, {}
         order = sorted(around, reverse=True)
         if order:
-            costs = state.cost(w, np.array(order)).tolist()
-            for j, c in zip(order, costs, strict=True):
-                key = c
-                if bayesian and not approx and not trees.forest:
-                    cut = around[j]
-                    key -= trees.gain(w, j, cut) - float(np.log(len(cut)))
+            costs = state.cost(w, np.array(order))
+            keys = costs
+            if bayesian and not approx and not trees.forest:
+                keys = costs - (trees.gains(w, [(j, *around[j]) for j in order]) - np.log([len(around[j][0]) for j in order]))
+            for j, key, c in zip(order, keys.tolist(), costs.tolist(), strict=True):
                 heapq.heappush(heap, (key, seq, j, w, c))
                 seq += 1
     inter = np.full(n, np.nan)

@@ -88,6 +88,62 @@ def test_spanning_trees_of_known_graphs():
     assert np.isclose(log_trees(7, [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6)]), np.log(9))
 
 
+def test_spanning_trees_match_determinants():
+    rng = np.random.default_rng(2)
+    for n, p in ((12, 0.4), (40, 0.15), (90, 0.9), (60, 0.05)):
+        e = [(i, j) for i in range(n) for j in range(i) if rng.random() < p]
+        w = rng.uniform(0.5, 3, len(e)).tolist()
+        lap = np.zeros((n, n))
+        for (a, b), v in zip(e, w):
+            lap[[a, b], [a, b]] += v
+            lap[[a, b], [b, a]] -= v
+        sign, want = np.linalg.slogdet(lap[1:, 1:])
+        parts, got = len(e) and connected_parts(n, e), log_trees(n, e, w)
+        assert got == -np.inf if parts > 1 else abs(got - want) < 1e-8
+    w = 30  # a product formula holds for grids
+    s = 4 * np.sin(np.pi * np.arange(w) / 2 / w) ** 2
+    both = (s[:, None] + s[None]).ravel()[1:]
+    assert abs(log_trees(w * w, grid(w).tolist()) - (np.log(both).sum() - np.log(w * w))) < 1e-7
+
+
+def connected_parts(n, edges):
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    return len(set(label))
+
+
+@pytest.mark.parametrize("name", ["bayes_mom", "bayes_dgmm"])
+def test_bayesian_grid_matches_dense_counts(name):
+    """Merges ordered by costs less the trees of the cut, each count a determinant of its own."""
+    rng = np.random.default_rng(7)
+    x = rng.poisson(5, size=(25, 3)).astype(float) + np.repeat([0, 6, 0, 6, 2], 5)[:, None]
+    edges = np.concatenate([grid(5), [[0, 6], [12, 18], [3, 7]]])
+    inner = lambda nodes: [(sorted(nodes).index(a), sorted(nodes).index(b)) for a, b in edges.tolist() if a in nodes and b in nodes]
+    tau = lambda nodes: log_trees(len(nodes), inner(nodes))
+    state, members, near, cost = CRITERIA[name](x, Method(name)), {i: {i} for i in range(25)}, set(map(tuple, np.sort(edges, axis=1).tolist())), {}
+    price = lambda a, b: float(state.cost(a, np.array([b]))[0])
+    cut = lambda a, b: sum((u in members[a]) == (v in members[b]) and (u in members[b]) == (v in members[a]) and u in members[a] | members[b] and v in members[a] | members[b] and (u in members[a]) != (v in members[a]) for u, v in edges.tolist())
+    cost = {e: (price(*e), price(*e)) for e in near}
+    pairs, intra = [], [0.0]
+    for m in range(24):
+        g, h = min(near, key=lambda e: cost[e][0])
+        w = 25 + m
+        pairs.append((g, h))
+        members[w] = members[g] | members[h]
+        intra.append(intra[-1] + tau(members[w]) - tau(members[g]) - tau(members[h]))
+        state.merge(w, g, h, cost[g, h][1])
+        others = {a if b in (g, h) else b for a, b in near if (a in (g, h)) != (b in (g, h))}
+        near = {e for e in near if g not in e and h not in e} | {(j, w) for j in others}
+        for j in others:
+            c = price(w, j)
+            cost[j, w] = c - (tau(members[w] | members[j]) - tau(members[w]) - tau(members[j])) + np.log(cut(w, j)), c
+    got = greedy(25, edges, CRITERIA[name](x, Method(name)), True)
+    assert got.pairs.tolist() == [list(p) for p in pairs]
+    assert np.allclose(got.prior_intra, intra, atol=1e-9)
+
+
 def test_heights_pool_inversions():
     assert np.allclose(heights(np.cumsum([0, 1, 2, 3, 5])), [1, 2, 3, 5])
     assert np.allclose(heights(np.cumsum([0, 1, 5, 2, 8])), [1, 3.5, 3.5, 8])
