@@ -231,3 +231,46 @@ class Flows:
                 theirs[j][w] = v
         self.pairs -= 2 * self.n[g] * self.n[h]
         self.links -= mid
+
+
+class AllFlows(Flows):
+    """Degree-corrected block model in which every ordered pair of blocks has a volume of its own.
+
+    A pair's cost sums up both blocks' volumes to and from all others, so it takes time in the number of blocks.
+    """
+
+    def __init__(self, rows: int, volumes: list[tuple[int, int, float]], lam_in: float | None = None, lam_out: float | None = None, degrees_from_origin: bool = False):
+        super().__init__(rows, volumes, lam_in, lam_out, degrees_from_origin)
+        self.active = set(range(rows))
+
+    def _row(self, held: dict[int, float], at: dict[int, int]) -> np.ndarray:
+        v = np.zeros(len(at))
+        for j, e in held.items():
+            if j in at:
+                v[at[j]] = e
+        return v
+
+    def _pair(self, g: int, h: int) -> float:
+        others = sorted(self.active - {g, h})
+        at = {j: i for i, j in enumerate(others)}
+        sizes, ng, nh = self.n[others], self.n[g], self.n[h]
+        before = after = 0.0
+        for side in (self.out, self.into):
+            a, b = self._row(side[g], at), self._row(side[h], at)
+            before += (self._volume(a, self.lam_out, ng * sizes) + self._volume(b, self.lam_out, nh * sizes)).sum()
+            after += self._volume(a + b, self.lam_out, (ng + nh) * sizes).sum()
+        there, back = self.out[g].get(h, 0.0), self.out[h].get(g, 0.0)
+        before += self._volume(there, self.lam_out, ng * nh) + self._volume(back, self.lam_out, ng * nh)
+        before += self._volume(self.inside[g], self.lam_in, ng**2) + self._volume(self.inside[h], self.lam_in, nh**2)
+        after += self._volume(self.inside[g] + self.inside[h] + there + back, self.lam_in, (ng + nh) ** 2)
+        for deg in (self.din, self.dout):
+            before += self._degree(ng, deg[g]) + self._degree(nh, deg[h])
+            after += self._degree(ng + nh, deg[g] + deg[h])
+        return float(before - after)
+
+    def cost(self, g, hs):
+        return np.array([self._pair(int(a), int(b)) for a, b in zip(np.broadcast_to(g, np.shape(hs)), hs, strict=True)])
+
+    def merge(self, w, g, h, loss=0.0):
+        super().merge(w, g, h, loss)
+        self.active = self.active - {g, h} | {w}

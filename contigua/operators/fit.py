@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contigua.operators.criteria import CRITERIA, Flows
+from contigua.operators.criteria import CRITERIA, AllFlows, Flows
 from contigua.operators.graph import renewed
 from contigua.operators.kernel import Merged, greedy, heights, leaf_order
 from contigua.plans.shared import Kept
@@ -177,32 +177,54 @@ def fit_graph(features: DataFrame, edges: DataFrame, method: object = "ward") ->
     return _dendrogram(both.applyInArrow(fit, RESULT), how)
 
 
-def fit_flows(zones: DataFrame, edges: DataFrame, flows: DataFrame, *, lam_in: float | None = None, lam_out: float | None = None, approx: bool = False, degrees_from_origin: bool = False) -> Dendrogram:
-    """Zones (run_key, id) under a contiguity graph, merged by how like their flows (run_key, o, d, vol) are.
-
-    Flows with an end that is no zone are dropped, those of equal ends added. degrees_from_origin counts arrivals at the
-    origin too, as the published program does.
-    """
-    how = Method("bayes_mom", approx=approx)
+def _flow_tables(zones: DataFrame, edges: DataFrame, flows: DataFrame) -> DataFrame:
+    """Zones, edges and flows, those of equal ends added, as one table."""
     tag = lambda df, k, a, b, v: df.select("run_key", F.lit(k).alias("kind"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"), v.cast("double").alias("v"))
     none = F.lit(None)
-    every = (
+    return (
         tag(zones, 0, F.col("id"), none, none)
         .unionByName(tag(edges, 1, F.col("src"), F.col("dst"), none))
         .unionByName(tag(flows.groupBy("run_key", "o", "d").agg(F.sum("vol").alias("vol")), 2, F.col("o"), F.col("d"), F.col("vol")))
     )
 
+
+def _flow_state(t: pa.Table, full: bool, lam_in: float | None, lam_out: float | None, degrees_from_origin: bool) -> tuple[np.ndarray, np.ndarray, Flows]:
+    """Ids, edges between their ranks, and the criterion's state."""
+    kind, a, b = (t[c].to_numpy() for c in ("kind", "a", "b"))
+    ids = np.unique(a[kind == 0].astype(int))
+    ends = np.stack([a[kind == 1], b[kind == 1]], axis=1).astype(int)
+    w = np.stack([a[kind == 2], b[kind == 2]], axis=1).astype(int)
+    v = t["v"].to_numpy()[kind == 2]
+    known = np.isin(w, ids).all(axis=1)
+    order = np.lexsort((w[known, 1], w[known, 0]))
+    at, v = np.searchsorted(ids, w[known][order]), v[known][order]
+    state = (AllFlows if full else Flows)(len(ids), [(int(o), int(d), float(u)) for (o, d), u in zip(at, v, strict=True)], lam_in, lam_out, degrees_from_origin)
+    return ids, _dense(ends, ids), state
+
+
+def fit_flows(zones: DataFrame, edges: DataFrame, flows: DataFrame, *, full: bool = False, lam_in: float | None = None, lam_out: float | None = None, approx: bool = False, degrees_from_origin: bool = False) -> Dendrogram:
+    """Zones (run_key, id) under a contiguity graph, merged by how like their flows (run_key, o, d, vol) are.
+
+    Volumes between blocks have one expectation in common, or, with full, each ordered pair of blocks its own. Flows with an
+    end that is no zone are dropped, those of equal ends added. degrees_from_origin counts arrivals at the origin too, as the
+    published program does.
+    """
+    how = Method("bayes_mom", approx=approx)
+
     def fit(t: pa.Table) -> pa.Table:
-        kind, a, b = (t[c].to_numpy() for c in ("kind", "a", "b"))
-        ids = np.unique(a[kind == 0].astype(int))
-        ends = np.stack([a[kind == 1], b[kind == 1]], axis=1).astype(int)
-        w = np.stack([a[kind == 2], b[kind == 2]], axis=1).astype(int)
-        v = t["v"].to_numpy()[kind == 2]
-        known = np.isin(w, ids).all(axis=1)
-        order = np.lexsort((w[known, 1], w[known, 0]))
-        at, v = np.searchsorted(ids, w[known][order]), v[known][order]
-        state = Flows(len(ids), [(int(o), int(d), float(u)) for (o, d), u in zip(at, v, strict=True)], lam_in, lam_out, degrees_from_origin)
-        merged = greedy(len(ids), _dense(ends, ids), state, True, approx)
+        ids, ends, state = _flow_state(t, full, lam_in, lam_out, degrees_from_origin)
+        merged = greedy(len(ids), ends, state, True, approx)
         return pa.Table.from_batches([_batch([_Run(t["run_key"][0].as_py(), ids, None, merged, True)])])
 
-    return _dendrogram(by_run(every).groupBy("run_key").applyInArrow(fit, RESULT), how)
+    return _dendrogram(by_run(_flow_tables(zones, edges, flows)).groupBy("run_key").applyInArrow(fit, RESULT), how)
+
+
+def flow_costs(zones: DataFrame, edges: DataFrame, flows: DataFrame, *, full: bool = False, lam_in: float | None = None, lam_out: float | None = None, degrees_from_origin: bool = False) -> DataFrame:
+    """(run_key, src, dst, cost): what merging each adjacent pair of zones costs by their flows, before any merge."""
+
+    def price(t: pa.Table) -> pa.Table:
+        ids, ends, state = _flow_state(t, full, lam_in, lam_out, degrees_from_origin)
+        cost = state.cost(ends[:, 0], ends[:, 1]) if len(ends) else np.zeros(0)
+        return pa.table({"run_key": np.full(len(ends), t["run_key"][0].as_py()), "src": ids[ends[:, 0]], "dst": ids[ends[:, 1]], "cost": cost})
+
+    return by_run(_flow_tables(zones, edges, flows)).groupBy("run_key").applyInArrow(price, "run_key bigint, src bigint, dst bigint, cost double")

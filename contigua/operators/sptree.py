@@ -45,6 +45,15 @@ def partition_prior(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return intra.join(log_spanning_trees(clusters, links, ["run_key"]).withColumnRenamed("ln_trees", "inter"), "run_key")
 
 
+def cut_cost(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(run_key, cost): ln spanning trees of a graph less those within its clusters, less ln of the number of edges between them."""
+    inside, between = quotient(edges, labels)
+    whole = log_spanning_trees(labels.select("run_key", "id"), edges, ["run_key"])
+    parts = log_spanning_trees(labels.select("run_key", "cl", "id"), inside, ["run_key", "cl"]).groupBy("run_key").agg(F.sum("ln_trees").alias("parts"))
+    cut = between.groupBy("run_key").agg(F.sum("w").alias("cut"))
+    return whole.join(parts, "run_key").join(cut, "run_key").select("run_key", (F.col("ln_trees") - F.col("parts") - F.log("cut")).alias("cost"))
+
+
 def _tops(tree: Dendrogram, most: int) -> DataFrame:
     """The nodes of the top of each tree: (run_key, id, node, own, null, null) for each row the nodes that hold it, own marking the lowest; and (run_key, null, node, null, first, last): the cuts that a node is in.
 

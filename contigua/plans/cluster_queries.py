@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from contigua.functions import vectors as V
 from contigua.functions.dirichlet import evidence_col
-from contigua.functions.glm import fit_groups
 from contigua.functions.special import lgamma_col, log_add
 from contigua.operators import dendrogram as D
 from contigua.operators import flows as O
@@ -715,10 +714,3 @@ def tracked_clusters(spark, folder):
     labels = D.cut(fit_chain(c), k=[5, 8])
     a, b = (labels.where(F.col("k") == k).select("run_key", "id", "cl") for k in (5, 8))
     return W.track(a, b, c.select("run_key", "id", F.lit(1.0).alias("w")))
-
-
-@query()
-def glm_poisson(spark, folder):
-    e = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("id"), "l_discount", "l_tax", "l_quantity")
-    return fit_groups(e, "id", ["l_discount", "l_tax"], "l_quantity").select("id", F.transform("beta", lambda v: F.round(v, 5)).alias("beta"), F.round("evidence", 3).alias("evidence"), "n")
-

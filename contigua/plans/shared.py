@@ -28,6 +28,26 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Tables that are in the shared folder for results not yet read, by session.
+_HELD: dict[str, set[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes what operators keep in the shared folder for their results, and says how many tables.
+
+    A result is a lazy plan over such tables: call this when all results so far have been read or written.
+    """
+    held = _HELD.pop(spark.sparkContext.applicationId, set())
+    for path in held:
+        _delete(spark, path)
+    return len(held)
+
+
 class Kept:
     """A DataFrame written to the shared folder and read again, so that a lost executor costs no earlier step."""
 
@@ -36,8 +56,8 @@ class Kept:
         self.path = f"{shared_folder(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        _HELD.setdefault(self.spark.sparkContext.applicationId, set()).add(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _HELD.get(self.spark.sparkContext.applicationId, set()).discard(self.path)
+        _delete(self.spark, self.path)

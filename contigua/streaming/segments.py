@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from contigua.operators.dendrogram import cut
 from contigua.operators.fit import fit_chain
+from contigua.operators.hot import wall_micros
 
 
 def recluster(stream: DataFrame, write: Callable[[DataFrame, int], None], k: int, method: object = "ward", checkpoint: str | None = None):
@@ -24,8 +25,16 @@ def recluster(stream: DataFrame, write: Callable[[DataFrame, int], None], k: int
 
 
 def tumbling(stream: DataFrame, ts: str, key: str, value: str, width: str, late: str) -> DataFrame:
-    """Counts and means by key and tumbling window of event time; readings later than `late` are dropped."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "mean")
+    """Counts and means by key and tumbling window of event time; readings later than `late` are dropped.
+
+    Times without a zone are taken as a wall clock shows them, and so are the windows' ends.
+    """
+    if dict(stream.dtypes)[ts] != "timestamp_ntz":
+        return stream.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "mean")
+    as_utc = stream.withColumn(ts, F.timestamp_micros(wall_micros(F.col(ts))))
+    found = tumbling(as_utc, ts, key, value, width, late)
+    wall = lambda c: (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_micros(c) / 1_000_000)).alias(c)
+    return found.select(key, wall("start"), wall("end"), "n", "mean")
 
 
 def level_shifts(stream: DataFrame, key: str, ts: str, value: str, jump: float) -> DataFrame:
