@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contigua.functions import vectors as V
-from contigua.functions.dirichlet import evidence_col
 from contigua.functions.special import lgamma_col, log_add
 from contigua.operators import dendrogram as D
 from contigua.operators import flows as O
@@ -290,12 +289,6 @@ def merged_maps(spark, folder):
     return nxt.select("user_id", F.explode(V.merge_counts(F.col("m"), F.col("m2"))).alias("event_type", "n"))
 
 
-@query()
-def dirichlet_evidence(spark, folder):
-    p = X.profiles(spark, folder)
-    return p.select("id", F.round(evidence_col(F.lit(1), F.transform("shares", lambda v: F.log(v)), F.col("shares")), 6).alias("evidence"))
-
-
 # ---- chains ----------------------------------------------------------------------------------------------------------
 
 

@@ -6,8 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from contigua.functions.dirichlet import evidence_col
 from contigua.functions.glm import fit_groups
 from contigua.operators import geometry as S
+from contigua.operators import graph as G
+from contigua.operators import prep as P
 from contigua.operators import sptree as T
 from contigua.operators import workload as W
 from contigua.operators.fit import fit_graph, flow_costs
@@ -17,6 +20,7 @@ from contigua.plans.cluster_queries import ODS_SQL, QUERIES, SQL, ZONE_EDGES, ZO
 from contigua.plans.shared import shared_folder
 from contigua.sources.tables import read_csv, table, with_attributes, write
 from contigua.streaming.segments import tumbling
+from contigua.types import Method, method_of
 
 __all__ = ["QUERIES", "SQL"]  # with those of cluster_queries, to which these are added
 
@@ -59,6 +63,82 @@ def flow_cost_full(spark, folder):
     return flow_costs(z.select("run_key", "id"), S.polygon_neighbours(z, "rook"), f, full=True).withColumn("cost", F.round("cost", 4))
 
 
+# ---- Dirichlet evidence ----------------------------------------------------------------------------------------------
+
+
+def _series(x: str, head: str, power: int, coefficients: list[str], back: str) -> str:
+    """An asymptotic series at x + 8 and the eight steps back to x."""
+    tail = " + ".join(f"({c}) / ({x} + 8) ** {2 * k + power}" for k, c in enumerate(coefficients))
+    return f"({head.format(y=f'({x} + 8)')} + {tail} + list_sum(list_transform(range(8), lambda kk: {back.format(x=x)})))"
+
+
+def _digamma(x: str) -> str:
+    return _series(x, "ln({y}) - 0.5 / {y}", 2, ["-1 / 12.0", "1 / 120.0", "-1 / 252.0", "1 / 240.0", "-1 / 132.0"], "-1.0 / ({x} + kk)")
+
+
+def _trigamma(x: str) -> str:
+    return _series(x, "1.0 / {y} + 0.5 / {y} ** 2", 3, ["1 / 6.0", "-1 / 30.0", "1 / 42.0", "-1 / 30.0", "5 / 66.0"], "1.0 / ({x} + kk) ** 2")
+
+
+def _parts(where: str) -> str:
+    """For each component its beta, log share, exponential, gradient and the Hessian's diagonal; ta: what the Hessian has in common."""
+    return f"""(SELECT *, list_transform(c, lambda r: {{'b': r.b, 'l': r.l, 'e': r.e, 'g': r.g, 'd': r.g - r.e ** 2 * {_trigamma("(r.e + 1)")} - 1}}) AS p FROM
+        (SELECT *, list_transform(c0, lambda r: {{'b': r.b, 'l': r.l, 'e': r.e, 'g': r.e * (da - {_digamma("(r.e + 1)")} + r.l - 0.01) + 1}}) AS c FROM
+        (SELECT *, {_digamma("a")} AS da, {_trigamma("a")} AS ta FROM
+        (SELECT *, list_sum(list_transform(c0, lambda r: r.e + 1)) AS a FROM
+        (SELECT id, k, mean, list_transform(list_zip(beta, mean), lambda z: {{'b': z[1], 'l': ln(z[2]), 'e': exp(z[1])}}) AS c0 FROM t WHERE {where})))))"""
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT l_suppkey AS id, {", ".join(f"count(*) FILTER (l_returnflag = '{a}' AND l_linestatus = '{b}') + 0.5 AS c{i}" for i, (a, b) in enumerate(X.CELLS))} FROM lineitem GROUP BY 1),
+    m AS (SELECT id, list_transform([c0, c1, c2, c3, c4, c5], lambda v: (v / (c0 + c1 + c2 + c3 + c4 + c5))::DOUBLE) AS mean FROM q),
+    t AS (SELECT id, 0 AS k, mean, list_transform(mean, lambda v: ln(greatest(5 / (-2 * list_sum(list_transform(mean, lambda w: w * (ln(w) - 0.01 - ln(w))))), 100 / list_min(mean)) * v - 1)) AS beta FROM m
+        UNION ALL
+        SELECT id, k + 1, mean, list_transform(p, lambda r: r.b - (r.g / r.d - r.e / r.d * ug / (1 / ta + eu))) FROM (SELECT *, list_sum(list_transform(p, lambda r: r.e / r.d * r.g)) AS ug, list_sum(list_transform(p, lambda r: r.e ** 2 / r.d)) AS eu FROM {_parts("k < 25")})),
+    z AS (SELECT * FROM {_parts("k = 25")})
+    SELECT id, round(list_sum(list_transform(p, lambda r: r.e * (r.l - 0.01) + ln(0.01) - lgamma(r.e + 1) + r.b - 0.5 * ln(abs(r.d)))) + lgamma(a) + 3 * ln(2 * pi()) - 0.5 * ln(1 + ta * list_sum(list_transform(p, lambda r: r.e ** 2 / r.d))), 4) AS evidence FROM z""")
+def dirichlet_evidence(spark, folder):
+    """The evidence of each supplier's composition, by Newton steps to the mode."""
+    p = X.profiles(spark, folder)
+    return p.select("id", F.round(evidence_col(F.lit(1), F.transform("shares", lambda v: F.log(v)), F.col("shares")), 4).alias("evidence"))
+
+
+# ---- checks ----------------------------------------------------------------------------------------------------------
+
+
+def _said(call) -> str:
+    """What a call's error says, or `accepted`."""
+    try:
+        call()
+    except ValueError as e:
+        return str(e).replace("'", "")
+    return "accepted"
+
+
+@query("""SELECT * FROM (VALUES ('method ward', 'accepted'), ('method of a function', 'accepted'), ('method ward.D', 'method not recognized'), ('scaling raw', 'accepted'), ('scaling unit', 'scaling must be zscore or raw'),
+    ('kind of zones', 'polygon'), ('kind of roads', 'line'), ('points for polygons', 'The dataset must contain only polygon geometries.'), ('no geometry', 'The dataset must be an object with a geometry of points, lines or polygons.'),
+    ('columns without geometry', 'id,nodep,velo'), ('missing features', 'Some regions have missing values and missing values are not allowed.'), ('parted graph', 'The graph is not connected, several components found.')) t("check", said)""")
+def checks(spark, folder):
+    """What the checks before a fit say."""
+    z, r = X.zones(spark, folder), X.roads(spark, folder)
+    p = spark.createDataFrame([(0, i, {"x": float(i), "y": 0.0}) for i in range(3)], "run_key bigint, id bigint, geometry struct<x: double, y: double>")
+    few = z.select("id", "nodep", "velo", "geometry")
+    said = [
+        ("method ward", _said(lambda: method_of("ward"))),
+        ("method of a function", _said(lambda: method_of(lambda: Method("bayes_mom", beta=2.0)))),
+        ("method ward.D", _said(lambda: method_of("ward.D"))),
+        ("scaling raw", _said(lambda: P.scaled(few, ["nodep"], "raw"))),
+        ("scaling unit", _said(lambda: P.scaled(few, ["nodep"], "unit"))),
+        ("kind of zones", S.geometry_kind(z)),
+        ("kind of roads", S.geometry_kind(r)),
+        ("points for polygons", _said(lambda: S.require_kind(p, "polygon"))),
+        ("no geometry", _said(lambda: S.geometry_kind(z.select(F.col("nodep").alias("geometry"))))),
+        ("columns without geometry", ",".join(P.numeric_columns(few.drop("geometry")))),
+        ("missing features", _said(lambda: P.require_complete(z, ["nodep", "velo"]))),
+        ("parted graph", _said(lambda: G.require_connected(p, spark.createDataFrame([(0, 0, 1)], "run_key bigint, src bigint, dst bigint")))),
+    ]
+    return spark.createDataFrame(said, "check string, said string")
+
+
 # ---- spanning trees --------------------------------------------------------------------------------------------------
 
 
