@@ -47,12 +47,26 @@ def polygon_segments(polygons: DataFrame) -> DataFrame:
     return each.select("run_key", "id", pick("a", "b", "x").alias("ax"), pick("a", "b", "y").alias("ay"), pick("b", "a", "x").alias("bx"), pick("b", "a", "y").alias("by"))
 
 
-def _met(segments: DataFrame) -> DataFrame:
-    """Pairs of segments of different ids whose boxes meet, found in cells about as wide as the mean segment."""
+def _met(segments: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
+    """Pairs of segments of different ids whose boxes meet, found in the cells that they run through; cells are about as wide as the mean segment.
+
+    A long segment has a cell for each width that it is long, not for each of its box. extra: further columns of the second
+    segment, under other names.
+    """
     side = segments.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0] or 1.0
-    cell = lambda f, c: F.floor(f(f"a{c}", f"b{c}") / side)
-    spread = segments.withColumn("gx", F.explode(F.sequence(cell(F.least, "x"), cell(F.greatest, "x")))).withColumn("gy", F.explode(F.sequence(cell(F.least, "y"), cell(F.greatest, "y"))))
-    other = spread.select("run_key", "gx", "gy", F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in ("ax", "ay", "bx", "by")])
+    slack = side * 1e-6  # points that touch within rounding share a cell
+    floor = lambda v: F.floor(v / side)
+    x0, x1, y0, y1 = (f(f"a{c}", f"b{c}") for c in "xy" for f in (F.least, F.greatest))
+    spread = segments.withColumn("gx", F.explode(F.sequence(floor(x0 - slack), floor(x1 + slack))))
+    # the part of the segment within the column
+    dx = F.col("bx") - F.col("ax")
+    at = lambda x: F.when(dx == 0, F.col("ay")).otherwise(F.col("ay") + (x - F.col("ax")) * (F.col("by") - F.col("ay")) / dx)
+    left, right = F.greatest(x0, F.col("gx") * side - slack), F.least(x1, (F.col("gx") + 1) * side + slack)
+    flat = F.abs(dx) <= slack
+    low = F.when(flat, y0).otherwise(F.greatest(y0, F.least(at(left), at(right))))
+    high = F.when(flat, y1).otherwise(F.least(y1, F.greatest(at(left), at(right))))
+    spread = spread.withColumn("gy", F.explode(F.sequence(floor(F.least(low, high) - slack), floor(F.greatest(low, high) + slack))))
+    other = spread.select("run_key", "gx", "gy", F.col("id").alias("id2"), *[F.col(c).alias(f"{c}2") for c in ("ax", "ay", "bx", "by")], *[F.col(c).alias(n) for c, n in (extra or {}).items()])
     boxes = F.lit(True)
     for c in "xy":
         boxes = boxes & (F.least(f"a{c}", f"b{c}") <= F.greatest(f"a{c}2", f"b{c}2")) & (F.least(f"a{c}2", f"b{c}2") <= F.greatest(f"a{c}", f"b{c}"))
@@ -104,9 +118,8 @@ def line_neighbours(lines: DataFrame, eps: float = 1e-9) -> DataFrame:
     pairs = ends.join(ends.withColumnRenamed("id", "id2"), ["run_key", "ex", "ey"]).where("id < id2").select("run_key", "id", "id2").distinct()
     steps = F.arrays_zip(F.slice(p, 1, F.size(p) - 1).alias("a"), F.slice(p, 2, F.size(p) - 1).alias("b"))
     seg = lines.where(F.size("geometry") > 1).select("run_key", "id", first["x"].alias("p0x"), first["y"].alias("p0y"), last["x"].alias("p1x"), last["y"].alias("p1y"), F.explode(steps).alias("s")).select("run_key", "id", "p0x", "p0y", "p1x", "p1y", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")).where("ax <> bx or ay <> by")
-    seg2 = seg.select("run_key", F.col("id").alias("id2"), *[F.col(f"p{k}").alias(f"q{k}") for k in ("0x", "0y", "1x", "1y")], *[F.col(c).alias(f"{c}2") for c in ("ax", "ay", "bx", "by")])
-    # placed as the aggregation below needs it; it also keeps the joins and the long expressions in stages of their own
-    met = pairs.join(seg, ["run_key", "id"]).join(seg2, ["run_key", "id2"]).repartition("run_key", "id", "id2")
+    # only segments that come near each other, of lines that share an end
+    met = _met(seg, {f"p{k}": f"q{k}" for k in ("0x", "0y", "1x", "1y")}).join(pairs, ["run_key", "id", "id2"])
     both = _relations(met, eps, touching=False)
 
     def is_end(x: str, y: str) -> Column:
