@@ -36,12 +36,15 @@ def p5_leaf_totals(spark: SparkSession, folder: str) -> DataFrame:
     return each.agg(F.sum("size").alias("links"), F.bool_and(F.col("radius") <= 1.0).alias("compact"))
 
 
+#: A file of byte-pair ranks, at the same path on every machine.
+TOKENIZER = os.environ.get("CONTIGUA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
+
 def tokenizer() -> str:
-    """A file of byte-pair ranks, at the same path on every machine; the environment variable CONTIGUA_TOKENIZER names it."""
-    path = os.environ.get("CONTIGUA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
-    if not os.path.exists(path):
+    """The path of that file, if there is one."""
+    if not os.path.exists(TOKENIZER):
         raise ValueError("set CONTIGUA_TOKENIZER to a file of byte-pair ranks (base64 token and rank in each line)")
-    return path
+    return TOKENIZER
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
