@@ -74,8 +74,11 @@ def email_at(text: str, place: int) -> Span | None:
     return k + cut, domain.end(), "email"
 
 
-def email_before(text: str, place: int) -> Span | None:
-    """The address whose domain has a dot written as a word at `place`, and whose at-sign is the word `at` before that domain."""
+def email_before(text: str, place: int, low: int) -> Span | None:
+    """The address whose domain has a dot written as a word at `place`, and whose at-sign is the word `at` before that domain.
+
+    A domain that reaches back to `low`, the last such dot, has been read from there.
+    """
     k = place
     while True:
         while k and (text[k - 1].isalnum() or text[k - 1] == "-"):
@@ -84,6 +87,8 @@ def email_before(text: str, place: int) -> Span | None:
         if not dot:
             break
         k -= len(dot[0])
+        if k <= low:
+            return None
     if text[max(0, k - 4) : k].lower() == " at ":
         return email_at(text, k - 4)
     return email_at(text, k - 6) if text[max(0, k - 6) : k].lower() == " chez " else None
@@ -418,7 +423,7 @@ class Finder:
     def person_at(self, text: str, place: int) -> Span | None:
         """A name none of whose parts a list has, which begins at `place`."""
         m = PERSON.match(text, place)
-        if not m or not self._apart(text, place, m.end()) or self._not_a_person(text, place, m.end()) or not all(self._maybe(w) for w in re.findall(CAP, m[0])):
+        if not m or not self._apart(text, place, m.end()) or self._not_a_person(text, place, m.end()) or not all(self._maybe(w) and w not in self.given and w not in self.family for w in re.findall(CAP, m[0])):
             return None
         return place, m.end(), "name"
 
@@ -446,7 +451,7 @@ class Finder:
         found: set[Span] = set()
         labels: dict[int, str] = {}
         numbers = 0  # where the last stretch of digits ended
-        persons: list[int] = []
+        dots = -1  # the last dot written as a word
         for end, (size, kinds) in self.automaton.iter(text):
             start = end + 1 - size
             for kind in kinds:
@@ -458,7 +463,7 @@ class Finder:
                 elif kind == "at":
                     span = email_at(text, start)
                 elif kind == "dot":
-                    span = email_before(text, start)
+                    span, dots = email_before(text, start, dots), start
                 elif kind == "street":
                     span = address_at(text, start + size // 2)
                 elif kind in ("phone", "id", "other"):
