@@ -300,7 +300,7 @@ class Finder:
         for s in STREET_ENDING:
             cues[s + " "].add("street")
             cues[s.capitalize() + " "].add("street")
-        for words, kind in ((PHONE_CUES, "phone"), (OTHER_CUES, "other"), (BEFORE_PERSON, "person"), (AFTER_PERSON, "after"), ([f"{w}:" for w in ("tel", "sms", "callto", "fax")], "phone")):
+        for words, kind in ((PHONE_CUES, "phone"), (OTHER_CUES, "other"), (BEFORE_PERSON if self.given or self.family else [], "person"), (AFTER_PERSON if self.given or self.family else [], "after"), ([f"{w}:" for w in ("tel", "sms", "callto", "fax")], "phone")):
             for c in cased(words):
                 cues[c].add(kind)
         for c in cased(ID_CUES) - {"Id", "id"}:
@@ -485,7 +485,7 @@ class Finder:
                     span = self.name_of_given(text, start, end + 1)
                 if span:
                     found.add(span)
-        for a, _, kind in [s for s in found if s[2] != "name"]:
+        for a, _, _ in [s for s in found if s[2] != "name"] if self.given or self.family else ():
             if span := self.before_contact(text, a):
                 found.add(span)
         rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
