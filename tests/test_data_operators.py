@@ -182,6 +182,33 @@ def test_components_decide(spark):
         assert [r["obs_id"] for r in implausible(frame(spark, still), rules=SpikeRules(block_rows=block)).collect()] == [still[at][0]]
 
 
+def test_size_of_source_changes_nothing(spark):
+    """Ids, kinds, deviations and scatters are the same whether sources are judged in one task or cut into blocks; copies with other times or values too."""
+    rng = np.random.default_rng(5)
+    rows, obs = [], 0
+    for link, (step, noise, n) in enumerate([(20, 0.4, 1500), (300, 0.6, 700), (7, 1.1, 1500), (900, 0.3, 300)], 1):
+        walk = 0.0
+        for i in range(n):
+            walk = 0.8 * walk + rng.normal() * noise
+            rows.append([obs := obs + 1, link, T0 + dt.timedelta(seconds=step * i), round(float(18 + 4 * math.sin(i * step / 9000) + walk), 2)])
+    for _ in range(150):
+        at, jump = int(rng.integers(len(rows) - 3)), float(rng.normal() * 7)
+        for k in range(int(rng.integers(1, 4))):
+            rows[at + k][3] = round(rows[at + k][3] + jump, 2)
+    for at in rng.integers(len(rows) - 7, size=8):
+        for k in range(7):
+            rows[at + k][3] = 11.11
+    for at in rng.integers(len(rows), size=30):
+        rows[at][3] = float(rng.choice([-3.0, 70.0, 0.0, NAN]))
+    rows += [[o, link, t + dt.timedelta(seconds=500 * (k % 3)), x + k % 2] for k, (o, link, t, x) in enumerate(rows[::29])]
+    df = frame(spark, [tuple(r) for r in rows])
+    whole, *cuts = ({(r["obs_id"], r["kind"]): (r["deviation"], r["scatter"]) for r in implausible(df, rules=SpikeRules(block_rows=block)).collect()} for block in (20_000, 1000, 97))
+    assert {kind for _, kind in whole} == {"impossible", "stuck", "spike"}
+    for cut in cuts:
+        assert cut.keys() == whole.keys()
+        assert all(np.allclose(cut[k], whole[k], rtol=0, atol=1e-9) for k in whole)
+
+
 def test_implausible_of_nothing(spark):
     assert implausible(frame(spark, [])).count() == 0
     assert implausible(frame(spark, [(1, 1, T0, 60.0), (2, 1, T0, 5.0), (3, 2, T0, NAN)])).select("obs_id", "kind").collect() == [(1, "impossible")]
