@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contigua.operators.criteria import CRITERIA, AllFlows, Flows
-from contigua.operators.graph import renewed
 from contigua.operators.kernel import Merged, greedy, heights, leaf_order
 from contigua.plans.shared import Kept
 from contigua.types import Dendrogram, Method, method_of
 
 #: One table from the kernel: rows with `id` are leaves (m null), the others levels (m from 0) with their merge (m from 1).
 RESULT = "run_key bigint, id bigint, leaf int, place int, x array<double>, m int, k int, left int, right int, cost double, height double, size bigint, center array<double>, level double, prior_intra double, prior_inter double, prior_k double"
-#: Most rows that one run may have; a run is sequential and in one task.
-MOST_ROWS = 1_000_000
+#: Most rows that one run can have: its nodes, nearly twice as many, are numbered with 32 bits. A run is sequential and in one task.
+MOST_ROWS = 2**30
+#: Rows of results that are made together.
+BATCH = 40_000
 
 
 ARROW = pa.schema(
@@ -35,42 +39,66 @@ class _Run:
     merged: Merged
     bayesian: bool
 
-    def columns(self) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """Values and validity of each flat column: rows of leaves, then of levels."""
+    @cached_property
+    def level(self) -> np.ndarray:
+        return -self.merged.level if self.bayesian else self.merged.level
+
+    @cached_property
+    def height(self) -> np.ndarray:
+        return heights(self.level)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        place = np.empty(len(self.ids), int)
+        place[leaf_order(len(self.ids), self.merged.pairs)] = np.arange(len(self.ids))
+        return place
+
+    def columns(self, lo: int, hi: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Values and validity of each column, in some of the rows; these are leaves, then levels. Of lists, what those have that aren't null."""
         n, r = len(self.ids), self.merged
-        level = -r.level if self.bayesian else r.level
-        place = np.empty(n, int)
-        place[leaf_order(n, r.pairs)] = np.arange(n)
-        m = np.arange(n)
-        nothing = np.zeros(n)
-        leaf, lev, merge, prior = np.r_[np.ones(n, bool), np.zeros(n, bool)], np.r_[np.zeros(n, bool), np.ones(n, bool)], np.r_[np.zeros(n, bool), m > 0], np.r_[np.zeros(n, bool), np.full(n, self.bayesian)]
-        pad = lambda v: np.r_[nothing, [0], v]
-        late = lambda v: np.r_[nothing, v]
+        row = np.arange(lo, hi)
+        leaf = row < n
+        m, every, prior = row - n * ~leaf, np.ones(hi - lo, bool), ~leaf & self.bayesian
+        merge = ~leaf & (m > 0)
+        late = lambda v: v[m - 1] if n > 1 else np.zeros(hi - lo)
+        lists = lambda v, ok: (np.zeros((0, 0)), ~every) if self.x is None else (v, ok)
         return {
-            "run_key": (np.full(2 * n, self.key), leaf | lev), "id": (np.r_[self.ids, np.zeros(n, int)], leaf), "leaf": (np.r_[m, m], leaf), "place": (np.r_[place, place], leaf), "m": (np.r_[m, m], lev), "k": (np.r_[m, n - m], lev),
-            "left": (pad(r.pairs[:, 0]), merge), "right": (pad(r.pairs[:, 1]), merge), "cost": (pad(r.cost), merge), "height": (pad(heights(level)), merge), "size": (pad(r.size), merge),
-            "level": (late(level), lev), "prior_intra": (late(r.prior_intra), prior), "prior_inter": (late(r.prior_inter), prior), "prior_k": (late(r.prior_k), prior),
+            "run_key": (np.full(hi - lo, self.key), every), "id": (self.ids[m], leaf), "leaf": (m, leaf), "place": (self.place[m], leaf), "m": (m, ~leaf), "k": (n - m, ~leaf),
+            "left": (late(r.pairs[:, 0]), merge), "right": (late(r.pairs[:, 1]), merge), "cost": (late(r.cost), merge), "height": (late(self.height), merge), "size": (late(r.size), merge),
+            "level": (self.level[m], ~leaf), "prior_intra": (r.prior_intra[m], prior), "prior_inter": (r.prior_inter[m], prior), "prior_k": (r.prior_k[m], prior),
+            "x": lists(self.x if self.x is None else self.x[m[leaf]], leaf), "center": lists(r.center[m[merge] - 1], merge),
         }
 
-    def lists(self) -> dict[str, list[np.ndarray | None]]:
-        n = len(self.ids)
-        if self.x is None:
-            return {"x": [None] * (2 * n), "center": [None] * (2 * n)}
-        return {"x": [*self.x, *[None] * n], "center": [*[None] * (n + 1), *self.merged.center]}
-
 
-def _batch(runs: list[_Run]) -> pa.RecordBatch:
-    flat, lists = [r.columns() for r in runs], [r.lists() for r in runs]
+def _batch(parts: list[dict[str, tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
     out = []
     for f in ARROW:
-        if f.name in ("x", "center"):
-            out.append(pa.array([v for l in lists for v in l[f.name]], f.type))
+        each = [p[f.name] for p in parts]
+        ok = np.concatenate([valid for _, valid in each])
+        if pa.types.is_list(f.type):
+            ends = np.cumsum(np.concatenate([[0], *[valid * v.shape[1] for v, valid in each]]))
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([v.ravel() for v, _ in each])), mask=pa.array(~ok)))
         else:
-            v, ok = (np.concatenate([c[f.name][i] for c in flat]) for i in (0, 1))
-            out.append(pa.array(v.astype(f.type.to_pandas_dtype()), f.type, mask=~ok))
+            out.append(pa.array(np.concatenate([v for v, _ in each]).astype(f.type.to_pandas_dtype()), f.type, mask=~ok))
     return pa.record_batch(out, schema=ARROW)
 
 
+def _batches(runs: list[_Run]) -> Iterator[pa.RecordBatch]:
+    """All rows of runs, those of a long run in several batches."""
+    parts, rows = [], 0
+    for r in runs:
+        n = 2 * len(r.ids)
+        for lo in range(0, n, BATCH):
+            hi = min(lo + BATCH, n)
+            if parts and rows + hi - lo > BATCH:
+                yield _batch(parts)
+                parts, rows = [], 0
+            parts.append(r.columns(lo, hi))
+            rows += hi - lo
+    if parts:
+        yield _batch(parts)
+
+
 def _matrix(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Feature lists of equal length as a matrix."""
     if isinstance(x, pa.ChunkedArray):
@@ -86,7 +114,7 @@ def _matrix(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first row of each id, in the rows' order."""
     if len(ids) > MOST_ROWS:
-        raise ValueError(f"a run has {len(ids)} rows; the bound is {MOST_ROWS}")
+        raise ValueError(f"a run has {len(ids)} rows; its nodes can't be numbered beyond {MOST_ROWS}")
     first = np.sort(np.unique(ids, return_index=True)[1])
     return (ids, x) if len(first) == len(ids) else (ids[first], x[first])
 
@@ -95,21 +123,21 @@ def _run(key: int, ids: np.ndarray, x: np.ndarray, edges: np.ndarray, method: Me
     return _Run(key, ids, x, greedy(len(ids), edges, CRITERIA[method.name](x, method), method.bayesian, method.approx), method.bayesian)
 
 
-def each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of one run after another, of batches that are ordered by run_key."""
-    held: list[pa.RecordBatch] = []
+def _each_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of batches that are ordered by run_key, parted where another run begins."""
     for b in batches:
         if not b.num_rows:
             continue
         keys = b.column("run_key").to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if held and held[0].column("run_key")[0].as_py() != keys[lo]:
-                yield held[0].column("run_key")[0].as_py(), pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield held[0].column("run_key")[0].as_py(), pa.Table.from_batches(held)
+            yield int(keys[lo]), b.slice(lo, hi - lo)
+
+
+def each_run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of one run after another, of batches that are ordered by run_key."""
+    for key, parts in groupby(_each_part(batches), itemgetter(0)):
+        yield key, pa.Table.from_batches([b for _, b in parts])
 
 
 def _dendrogram(result: DataFrame, method: Method) -> Dendrogram:
@@ -142,10 +170,9 @@ def fit_chain(features: DataFrame, method: object = "ward") -> Dendrogram:
             done.append(_run(key, ids, x, np.stack([steps, steps + 1], axis=1), how))
             rows += len(ids)
             if rows > 20_000:
-                yield _batch(done)
+                yield from _batches(done)
                 done, rows = [], 0
-        if done:
-            yield _batch(done)
+        yield from _batches(done)
 
     ordered = by_run(features.select("run_key", "id", "ord", "x")).sortWithinPartitions("run_key", "ord", "id").select("run_key", "id", "x")
     return _dendrogram(ordered.mapInArrow(fit, RESULT), how)
@@ -161,20 +188,40 @@ def _dense(e: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return at
 
 
+def _graph_of(parts: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, features and edges between the ids' ranks, of a run's rows in order of id and then its edges. No batch is kept."""
+    rows: list[np.ndarray] = []
+    x: list[np.ndarray] = []
+    edges = [np.zeros((0, 2), np.int32)]
+    ids: np.ndarray | None = None
+    for p in parts:
+        n = int(np.searchsorted(p["kind"].to_numpy(), 1))
+        if n:
+            rows.append(p["id"].slice(0, n).to_numpy(zero_copy_only=False).copy())
+            x.append(_matrix(p["x"].slice(0, n)))
+        if n < p.num_rows:
+            if not rows:
+                raise ValueError("an edge has an end without features")
+            if ids is None:  # all rows have come
+                ids = np.unique(np.concatenate(rows))
+            ends = np.stack([p[c].slice(n).to_numpy(zero_copy_only=False) for c in ("id", "dst")], axis=1)
+            edges.append(_dense(ends, ids).astype(np.int32))
+    if len({v.shape[1] for v in x}) > 1:
+        raise ValueError("Some regions have missing values and missing values are not allowed.")
+    return *_once(np.concatenate(rows), np.concatenate(x)), np.concatenate(edges)
+
+
 def fit_graph(features: DataFrame, edges: DataFrame, method: object = "ward") -> Dendrogram:
     """Rows (run_key, id, x) under the contiguity graph (run_key, src, dst), which may be repeated, reversed or have loops."""
     how = method_of(method)
 
-    def fit(f: pa.Table, e: pa.Table) -> pa.Table:
-        if not f.num_rows:
-            raise ValueError("an edge has an end without features")
-        f = f.sort_by("id")
-        ids, x = _once(f["id"].to_numpy(), _matrix(f["x"]))
-        ends = np.stack([e["src"].to_numpy(), e["dst"].to_numpy()], axis=1)
-        return pa.Table.from_batches([_batch([_run(f["run_key"][0].as_py(), ids, x, _dense(ends, ids), how)])])
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, parts in groupby(_each_part(batches), itemgetter(0)):
+            yield from _batches([_run(key, *_graph_of(p for _, p in parts), how)])
 
-    both = by_run(features.select("run_key", "id", "x")).groupBy("run_key").cogroup(by_run(renewed(edges, "run_key", "src", "dst")).groupBy("run_key"))
-    return _dendrogram(both.applyInArrow(fit, RESULT), how)
+    rows = features.select("run_key", F.lit(0).alias("kind"), "id", F.lit(None).cast("bigint").alias("dst"), "x")
+    pairs = edges.select("run_key", F.lit(1).alias("kind"), F.col("src").alias("id"), "dst", F.lit(None).cast(features.schema["x"].dataType).alias("x"))
+    return _dendrogram(by_run(rows.unionByName(pairs)).sortWithinPartitions("run_key", "kind", "id", "dst").mapInArrow(fit, RESULT), how)
 
 
 def _flow_tables(zones: DataFrame, edges: DataFrame, flows: DataFrame) -> DataFrame:
@@ -214,7 +261,7 @@ def fit_flows(zones: DataFrame, edges: DataFrame, flows: DataFrame, *, full: boo
     def fit(t: pa.Table) -> pa.Table:
         ids, ends, state = _flow_state(t, full, lam_in, lam_out, degrees_from_origin)
         merged = greedy(len(ids), ends, state, True, approx)
-        return pa.Table.from_batches([_batch([_Run(t["run_key"][0].as_py(), ids, None, merged, True)])])
+        return pa.Table.from_batches(_batches([_Run(t["run_key"][0].as_py(), ids, None, merged, True)]))
 
     return _dendrogram(by_run(_flow_tables(zones, edges, flows)).groupBy("run_key").applyInArrow(fit, RESULT), how)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,8 @@ from contigua.operators.trees import TreeCounts, log_trees
 
 #: Coarse levels whose prior between clusters is computed; finer ones are interpolated.
 COARSE = 50
+#: Edges that are looked at together, so that what is made of them needn't fit for all.
+EDGES = 65_536
 
 
 @dataclass
@@ -36,18 +39,22 @@ def connected(n: int, edges: np.ndarray) -> bool:
         return i
 
     left = n
-    for a, b in edges.tolist():
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            left -= 1
+    for at in range(0, len(edges), EDGES):
+        for a, b in edges[at : at + EDGES].tolist():
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                left -= 1
     return left <= 1
 
 
 def canonical(edges: np.ndarray) -> np.ndarray:
     """Undirected edges once each, smaller end first, in order, without loops."""
-    e = np.sort(np.asarray(edges, int).reshape(-1, 2), axis=1)
-    return np.unique(e[e[:, 0] != e[:, 1]], axis=0)
+    e = np.asarray(edges).reshape(-1, 2)
+    e = np.sort(e if e.dtype.kind == "i" else e.astype(int), axis=1)
+    e = e[e[:, 0] != e[:, 1]]
+    e = e[np.lexsort((e[:, 1], e[:, 0]))]
+    return e[np.r_[True, (e[1:] != e[:-1]).any(axis=1)]] if len(e) else e
 
 
 def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: bool = False) -> Merged:
@@ -60,7 +67,10 @@ def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: boo
     edges = canonical(edges)
     if not connected(n, edges):
         raise ValueError("The graph is not connected, several components found.")
-    first = state.cost(edges[:, 0], edges[:, 1]) if len(edges) else np.zeros(0)
+    first = np.concatenate([np.zeros(0), *[state.cost(*edges[at : at + EDGES].T) for at in range(0, len(edges), EDGES)]])
+    if not bayesian:
+        return _by_cost(n, edges, first, state)
+    edges = edges.astype(int)
     heap = [(c, s, u, v, c) for s, (c, (u, v)) in enumerate(zip(first.tolist(), edges.tolist(), strict=True))]
     heapq.heapify(heap)
     seq = len(heap)
@@ -70,7 +80,7 @@ def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: boo
         one, two = [u], [v]
         near[u][v] = one, two
         near[v][u] = two, one
-    trees = TreeCounts(n, len(edges) < n, edges) if bayesian else None
+    trees = TreeCounts(n, len(edges) < n, edges)
     alive = np.ones(2 * n - 1, bool)
     pairs, cost = np.zeros((max(n - 1, 0), 2), int), np.zeros(max(n - 1, 0))
     level, intra = np.full(n, state.start), np.zeros(n)
@@ -86,18 +96,15 @@ def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: boo
                 break
         w = n + m
         pairs[m], cost[m] = (g, h), price
-        if bayesian:
-            if state.moving:
-                loss = float(state.cost(g, np.array([h]))[0])
-            mine, theirs = near[g][h]
-            gain = float(trees.gains(g, [(h, mine, theirs)])[0])
-            level[m + 1] = level[m] - loss
-            intra[m + 1] = intra[m] + gain
-            trees.merge(w, g, h, mine, theirs, gain)
-            if level[m + 1] + prior_k[m + 1] > best:
-                best, best_at = level[m + 1] + prior_k[m + 1], m
-        else:
-            level[m + 1] = level[m] + price
+        if state.moving:
+            loss = float(state.cost(g, np.array([h]))[0])
+        mine, theirs = near[g][h]
+        gain = float(trees.gains(g, [(h, mine, theirs)])[0])
+        level[m + 1] = level[m] - loss
+        intra[m + 1] = intra[m] + gain
+        trees.merge(w, g, h, mine, theirs, gain)
+        if level[m + 1] + prior_k[m + 1] > best:
+            best, best_at = level[m + 1] + prior_k[m + 1], m
         state.merge(w, g, h, loss)
         alive[g] = alive[h] = False
         few, around = sorted((near[g], near[h]), key=len)  # what the larger one has is taken over as it is
@@ -108,7 +115,7 @@ def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: boo
             if j in (g, h):
                 continue
             held = around.get(j)
-            around[j] = (held[0] + mine, held[1] + theirs) if held and bayesian else held or (mine, theirs)
+            around[j] = (held[0] + mine, held[1] + theirs) if held else (mine, theirs)
         for j, (mine, theirs) in around.items():
             other = near[j]
             other.pop(g, None)
@@ -119,17 +126,118 @@ def greedy(n: int, edges: np.ndarray, state, bayesian: bool = False, approx: boo
         if order:
             costs = state.cost(w, np.array(order))
             keys = costs
-            if bayesian and not approx and not trees.forest:
+            if not approx and not trees.forest:
                 keys = costs - (trees.gains(w, [(j, *around[j]) for j in order]) - np.log([len(around[j][0]) for j in order]))
             for j, key, c in zip(order, keys.tolist(), costs.tolist(), strict=True):
                 heapq.heappush(heap, (key, seq, j, w, c))
                 seq += 1
-    inter = np.full(n, np.nan)
-    if bayesian:
-        inter = _between(n, edges, pairs, intra, best_at)
-        level = level + (inter + intra - inter[0]) + prior_k
-    size = state.n[n:] if n > 1 else np.zeros(0)
-    return Merged(pairs, cost, level, state.x[n:], size, intra, inter, prior_k)
+    inter = _between(n, edges, pairs, intra, best_at)
+    level = level + (inter + intra - inter[0]) + prior_k
+    return Merged(pairs, cost, level, state.x[n:], state.n[n:], intra, inter, prior_k)
+
+
+class _Held:
+    """Of each node since the rows, in order of cost: its neighbours when it arose, and what merging with them costs. What merged nodes held is cleared away."""
+
+    def __init__(self, n: int):
+        self.n, self.last, self.live = n, n - 1, 0
+        self.ids, self.costs = array("i"), array("d")
+        self.at, self.begin, self.end = (array("q", bytes(8 * (n - 1))) for _ in range(3))
+
+    def put(self, w: int, ids: list[int], costs: list[float], top: array) -> None:
+        if len(self.ids) - self.live > max(self.live, self.n):
+            self._clear(top)
+        i, self.last = w - self.n, w
+        self.at[i] = self.begin[i] = len(self.ids)
+        self.ids.extend(ids)
+        self.costs.extend(costs)
+        self.end[i] = len(self.ids)
+        self.live += len(ids)
+
+    def take(self, w: int) -> array:
+        """The neighbours of a node that is merged now."""
+        i = w - self.n
+        out = self.ids[self.begin[i] : self.end[i]]
+        self.live -= len(out)
+        return out
+
+    def _clear(self, top: array) -> None:
+        """top: a node itself, unless it is merged."""
+        ids, costs = array("i"), array("d")
+        for i in range(self.last - self.n + 1):
+            if top[i + self.n] == i + self.n:
+                a, b, shift = self.begin[i], self.end[i], len(ids) - self.begin[i]
+                ids.extend(self.ids[a:b])
+                costs.extend(self.costs[a:b])
+                self.at[i], self.begin[i], self.end[i] = self.at[i] + shift, a + shift, b + shift
+            else:
+                self.at[i] = self.begin[i] = self.end[i] = 0
+        self.ids, self.costs = ids, costs
+
+
+def _by_cost(n: int, edges: np.ndarray, first: np.ndarray, state) -> Merged:
+    """The merges of canonical edges with the costs `first`, by cost alone, in room that grows with the edges and not with all pairs that arise.
+
+    Pairs of rows are sorted once. A later pair is held by the node that it arose with; the heap has one pair of each such
+    node, its cheapest that is left, so that (cost, holder) is the order of (cost, pair). What a node held when it arose
+    also tells its neighbours: they are in the clusters that have since taken those nodes in.
+    """
+    order = np.argsort(first, kind="stable")
+    low, high = (array("i", edges[order, c].astype(np.intc).tobytes()) for c in (0, 1))
+    price = array("d", first[order].tobytes())
+    holder, other = np.r_[edges[:, 0], edges[:, 1]].astype(np.intc), np.r_[edges[:, 1], edges[:, 0]].astype(np.intc)
+    near = array("i", other[np.argsort(holder, kind="stable")].tobytes())
+    begin = array("q", np.r_[0, np.cumsum(np.bincount(holder, minlength=n))].tobytes())
+    del edges, first, order, holder, other
+    s, held, heap = 0, _Held(n), []
+    top = array("i", range(2 * n - 1))
+    pairs, cost = np.zeros((n - 1, 2), np.intc), np.zeros(n - 1)
+    for m in range(n - 1):
+        while s < len(price) and (top[low[s]] != low[s] or top[high[s]] != high[s]):
+            s += 1
+        while heap:
+            h = heap[0][1]
+            if top[h] != h:
+                heapq.heappop(heap)
+                continue
+            i, end = held.at[h - n], held.end[h - n]
+            if top[held.ids[i]] == held.ids[i]:
+                break
+            while i < end and top[held.ids[i]] != held.ids[i]:
+                i += 1
+            held.at[h - n] = i
+            if i < end:
+                heapq.heapreplace(heap, (held.costs[i], h))
+            else:
+                heapq.heappop(heap)
+        if s < len(price) and (not heap or price[s] <= heap[0][0]):
+            g, h, loss = low[s], high[s], price[s]
+        elif heap:
+            loss, h = heapq.heappop(heap)
+            g = held.ids[held.at[h - n]]
+        else:
+            raise ValueError("The graph is not connected, several components found.")
+        w = n + m
+        pairs[m], cost[m] = (g, h), loss
+        state.merge(w, g, h, loss)
+        top[g] = top[h] = w
+        around = set()
+        for k in (g, h):
+            for j in near[begin[k] : begin[k + 1]] if k < n else held.take(k):
+                while (up := top[j]) != j:
+                    top[j] = top[up]
+                    j = up
+                around.add(j)
+        around.discard(w)
+        ids = sorted(around, reverse=True)
+        if ids:
+            costs = state.cost(w, np.array(ids)).tolist()
+            by = sorted(range(len(ids)), key=costs.__getitem__)
+            held.put(w, [ids[i] for i in by], [costs[i] for i in by], top)
+            heapq.heappush(heap, (costs[by[0]], w))
+    k = np.arange(n, 0, -1.0)
+    prior_k = lgamma(n + 1.0) - (lgamma(float(n)) - lgamma(k) - lgamma(n - k + 1)) - lgamma(k + 1)
+    return Merged(pairs.astype(int), cost, np.cumsum(np.r_[state.start, cost]), state.x[n:], state.n[n:], np.zeros(n), np.full(n, np.nan), prior_k)
 
 
 def _between(n: int, edges: np.ndarray, pairs: np.ndarray, intra: np.ndarray, best_at: int) -> np.ndarray:
@@ -171,6 +279,7 @@ def heights(level: np.ndarray) -> np.ndarray:
     n = len(level)
     gain = -np.asarray(level, float)[::-1]  # by k - 1
     top = int(np.argmax(gain))
+    gain = gain.tolist()
     hull = [0]
     for k in range(1, top + 1):
         while len(hull) > 1 and (gain[k] - gain[hull[-1]]) * (hull[-1] - hull[-2]) >= (gain[hull[-1]] - gain[hull[-2]]) * (k - hull[-1]):

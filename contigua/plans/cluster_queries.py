@@ -527,7 +527,7 @@ def _zone_counts(z: DataFrame) -> DataFrame:
 def ward_grid_total(spark, folder):
     """Ward over the grid: the last level against the squares about the mean."""
     g = X.grid(spark, folder)
-    t = fit_graph(g, S.polygon_neighbours(X.cells(spark, folder), "rook"))
+    t = fit_graph(g, S.polygon_neighbours(X.cells(spark, folder, ranked=True), "rook"))
     whole = g.agg(sum((F.var_pop(F.col("x")[i]) * F.count("*") for i in (0, 1)), F.lit(0.0)).alias("ss"))
     return t.levels.where("k = 1").crossJoin(F.broadcast(whole)).select("run_key", F.round(F.abs(F.col("level") / F.col("ss") - 1), 6).alias("off"))
 

@@ -10,6 +10,8 @@ from contigua.sources.tables import table
 
 #: The counts of a supplier's lines by return flag and line status.
 CELLS = [("A", "F"), ("N", "F"), ("N", "O"), ("R", "F"), ("A", "O"), ("R", "O")]
+#: Keys that are ranked together.
+BLOCK = 65_536
 MODES = ["nodep", "marche", "velo", "drm", "voiture", "tcom"]
 
 
@@ -28,18 +30,26 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(single(), F.col("vec_id").alias("id"), e[0].cast("double").alias("x"), e[1].cast("double").alias("y"), F.transform(F.slice(e, 3, 62), lambda v: v.cast("double")).alias("features"), "label")
 
 
-def grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts as cells of a square grid, by the rank of their key; the keys are dense from the least on."""
-    parts = table(spark, folder, "part")
+def _ranks(parts: DataFrame) -> DataFrame:
+    """The rank r of each part's key from 0 on, counted in blocks of keys."""
+    keys = parts.select("p_partkey").distinct().withColumn("block", F.floor(F.col("p_partkey") / BLOCK))
+    before = keys.groupBy("block").agg(F.count("*").alias("n")).select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    return keys.join(before, "block").select("p_partkey", (F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("p_partkey")) - 1).alias("r"))
+
+
+def grid(spark: SparkSession, folder: str, ranked: bool = False) -> DataFrame:
+    """Parts as cells of a square grid, by how far their key is from the least; or, where keys have gaps, by its rank, so that the grid has none."""
+    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice", "p_size")
     size = parts.agg(F.min("p_partkey").alias("low"), F.floor(F.sqrt(F.count("*"))).alias("w"))
-    r = F.col("p_partkey") - F.col("low")
-    return parts.crossJoin(F.broadcast(size)).select(single(), F.col("p_partkey").alias("id"), F.pmod(r, F.col("w")).alias("col"), F.floor(r / F.col("w")).alias("row"), F.array(F.col("p_retailprice").cast("double"), F.col("p_size").cast("double")).alias("x"))
+    r = F.col("r") if ranked else F.col("p_partkey") - F.col("low")
+    placed = parts.join(_ranks(parts), "p_partkey") if ranked else parts
+    return placed.crossJoin(F.broadcast(size)).select(single(), F.col("p_partkey").alias("id"), F.pmod(r, F.col("w")).alias("col"), F.floor(r / F.col("w")).alias("row"), F.array(F.col("p_retailprice").cast("double"), F.col("p_size").cast("double")).alias("x"))
 
 
-def cells(spark: SparkSession, folder: str) -> DataFrame:
+def cells(spark: SparkSession, folder: str, ranked: bool = False) -> DataFrame:
     """The grid as unit squares."""
     at = lambda dx, dy: F.struct((F.col("col") + dx).cast("double").alias("x"), (F.col("row") + dy).cast("double").alias("y"))
-    return grid(spark, folder).select("run_key", "id", "x", F.array(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))).alias("geometry"))
+    return grid(spark, folder, ranked).select("run_key", "id", "x", F.array(F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1), at(0, 0))).alias("geometry"))
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,10 +5,12 @@ import math
 import warnings
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from contigua.operators import dendrogram as D
+from contigua.operators import fit
 from contigua.operators import flows as O
 from contigua.operators import geometry as S
 from contigua.operators import graph as G
@@ -17,6 +19,8 @@ from contigua.operators import sptree as T
 from contigua.operators import workload as W
 from contigua.operators.delaunay import _in_circle, triangulation_edges
 from contigua.operators.fit import fit_chain, fit_flows, fit_graph
+from contigua.plans import cluster_queries as CQ
+from contigua.plans import fixtures as FX
 from contigua.streaming.segments import level_shifts, recluster, tumbling
 
 
@@ -153,6 +157,45 @@ def test_queen_joins_diagonals(spark):
     assert (q[49], q[59]) == (2, 1) and (r[49], r[59]) != (2, 1)
 
 
+def test_grid_of_parts_whose_keys_have_gaps(spark, tmp_path):
+    """Two copies of 50 parts, far apart in their keys, are one grid."""
+    key = F.col("id") % 50 + F.floor(F.col("id") / 50) * 10**9
+    spark.range(100).select(key.alias("p_partkey"), (F.col("id") * 37 % 11).cast("double").alias("p_retailprice"), (F.col("id") % 7).cast("int").alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    assert [tuple(r) for r in CQ.ward_grid_total(spark, str(tmp_path)).collect()] == [(0, 0.0)]
+    cells = FX.grid(spark, str(tmp_path), ranked=True).select("row", "col").distinct().orderBy("row", "col").collect()
+    assert [tuple(c) for c in cells] == [(r, c) for r in range(10) for c in range(10)]
+
+
+def test_rows_of_long_runs_are_all_kept():
+    n = 1_200_000
+    ids, x = fit._once(np.arange(n), np.zeros((n, 1)))
+    assert len(ids) == len(x) == n
+
+
+def test_results_made_in_pieces_are_the_same(monkeypatch):
+    rng = np.random.default_rng(6)
+    chain = lambda n: np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
+    for name in ("ward", "bayes_mom"):
+        runs = [fit._run(k, np.arange(n) + 100, rng.integers(1, 9, size=(n, 2)).astype(float), chain(n), fit.method_of(name)) for k, n in enumerate((1, 2, 30))]
+        whole = pa.Table.from_batches(fit._batches(runs))
+        assert whole.num_rows == 66 and whole["x"].null_count == whole["m"].null_count == 33 and whole["center"].null_count == whole["cost"].null_count == 36
+        with monkeypatch.context() as m:
+            m.setattr(fit, "BATCH", 7)
+            pieces = list(fit._batches(runs))
+        assert len(pieces) > 9 and pa.Table.from_batches(pieces).equals(whole)
+
+
+def test_graph_of_many_batches_is_fitted_whole(spark):
+    """A graph that is a chain, its edges reversed and repeated, over more rows than come to the task at once."""
+    n = 25_000
+    f = spark.range(n).select(F.lit(0).cast("bigint").alias("run_key"), "id", F.col("id").alias("ord"), F.array((F.col("id") * 7919 % 1009).cast("double")).alias("x"))
+    e = spark.range(2 * n - 2).select(F.lit(0).cast("bigint").alias("run_key"), F.floor(F.col("id") / 2 + 1).alias("src"), F.floor(F.col("id") / 2).alias("dst"))
+    merges = [t.merges.orderBy("m").toPandas() for t in (fit_graph(f, e), fit_chain(f))]
+    assert len(merges[0]) == n - 1 and all((merges[0][c] == merges[1][c]).all() for c in ("m", "left", "right", "cost", "height", "size"))
+    with pytest.raises(Exception, match="an edge has an end without features"):
+        fit_graph(f, e.withColumn("dst", F.col("dst") - 1))
+
+
 def test_runs_of_one_and_two_rows_and_repeats(spark):
     f = features(spark, [1.0]).unionByName(features(spark, [1.0, 3.0], 1)).unionByName(features(spark, [1.0, 3.0], 1))
     t = fit_chain(f)

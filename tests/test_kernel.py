@@ -46,6 +46,16 @@ def test_greedy_matches_brute_force_with_ties(name, seed):
     assert (got.pairs == want).all()
 
 
+@pytest.mark.parametrize("name", ["ward", "median"])
+def test_hub_matches_brute_force(name):
+    """A row beside all others, whose neighbours are held anew at each merge with it."""
+    x = np.random.default_rng(1).integers(1, 9, size=(60, 2)).astype(float)
+    edges = np.concatenate([np.stack([np.zeros(59, int), np.arange(1, 60)], 1), np.stack([np.arange(1, 59), np.arange(2, 60)], 1)[::3]])
+    state = CRITERIA[name](x, Method(name))
+    want = brute(60, edges.tolist(), state, lambda e: float(state.cost(e[0], np.array([e[1]]))[0]))
+    assert (greedy(60, edges, CRITERIA[name](x, Method(name))).pairs == want).all()
+
+
 @pytest.mark.parametrize("name", ["bayes_mom", "bayes_dgmm", "bayes_dirichlet"])
 def test_bayesian_chain_matches_brute_force(name):
     rng = np.random.default_rng(3)
